@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,9 +36,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    free_shuffles(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is finished: it does so when the driver's JVM has collected their owners."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def forget(df: DataFrame) -> None:
@@ -73,6 +81,68 @@ class HashedWords(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def _table(separators: bytes) -> np.ndarray:
+    is_separator = np.zeros(256, bool)
+    is_separator[list(separators)] = True
+    return is_separator
+
+
+WHITE_SPACE = _table(b" \t\n\x0b\x0c\r")
+WHITE_SPACE_AND_PUNCTUATION = WHITE_SPACE | _table(bytes(c for c in range(128) if not chr(c).isalnum()))
+_BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64 and of its inverse, by doubling; kept for later calls."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        _powers.clear()
+        for base in (_STEP, _BACK):
+            p = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                p[done : 2 * done] = p[:done] * np.uint64(pow(base, done, 1 << 64))
+                done *= 2
+            _powers.append(p)
+    return _powers[0], _powers[1]
+
+
+def hashed_words(bodies: list[bytes], separators: np.ndarray = WHITE_SPACE, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): 64-bit hashes of all words of all bodies, a row each; the words of each body.
+
+    Columns after the first are for the first `stems` bytes of a word, zero for a word without so many. A word's hash is a
+    difference of prefix sums, so the cost is a few array operations a byte; the bytes are worked off in segments of 1 MB that
+    end between words."""
+    buffer = np.frombuffer(b"\n".join([*bodies, b""]), np.uint8)
+    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    out, begins, at = [], [], 0
+    gaps = None
+    while at < len(buffer):
+        end = min(len(buffer), at + (1 << 20))
+        if end < len(buffer):
+            gaps = np.nonzero(separators[buffer])[0] if gaps is None else gaps
+            end = int(gaps[min(np.searchsorted(gaps, end), len(gaps) - 1)]) + 1
+        some = buffer[at:end]
+        up, down = _powers_to(len(some) + 1)
+        inside = ~separators[some]
+        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[some] * up[: len(some)], dtype=np.uint64)))
+        columns = [mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))]
+        for n in stems:
+            stop = np.minimum(starts + n, ends)
+            columns.append(np.where(ends - starts >= n, mixed((sums[stop] - sums[starts]) * down[starts] + np.uint64(n << 32)), np.uint64(0)))
+        out.append(np.stack(columns, axis=1) if stems else columns[0])
+        begins.append(starts + at)
+        at = end
+    if not out:
+        return np.zeros((0, 1 + len(stems)) if stems else 0, np.uint64), np.zeros(len(bodies), np.int64)
+    limits = np.searchsorted(np.concatenate(begins), np.cumsum(lengths + 1))
+    return np.concatenate(out), np.diff(np.concatenate(([0], limits)))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (splitmix64)."""
     h = h ^ (h >> np.uint64(30))

@@ -15,7 +15,6 @@ scan of the documents each.
 
 from __future__ import annotations
 
-import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, CACHE_ENTRIES, mixed, read_table, rolled
+from .common import BASES, WHITE_SPACE_AND_PUNCTUATION, hashed_words, mixed, read_table, rolled
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -34,22 +33,10 @@ ITEM_BLOCK_WORDS = 2_000_000
 HITS = "array<struct<item_id: long, similarity: double, start_word: int, n_words: int>>"
 
 
-class PlainWords(dict):
-    """Word to hash without letter case and outer punctuation; zero for a word that is only punctuation."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        plain = word.lower().strip(string.punctuation)
-        h = self[word] = xxhash.xxh3_64_intdigest(plain.encode()) | 1 if plain else 0
-        return h
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.split()
-        h = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        return h[h != 0]
+def plain_words(texts: list[str | None]) -> list[np.ndarray]:
+    """Word hashes of each text, without letter case; punctuation separates like white space."""
+    h, counts = hashed_words([(t or "").lower().encode("utf-8", "replace") for t in texts], WHITE_SPACE_AND_PUNCTUATION)
+    return np.split(h, np.cumsum(counts)[:-1]) if texts else []
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -76,11 +63,11 @@ _NEAR_BYTE = [[v ^ x for x in range(256) if x.bit_count() <= 2] for v in range(2
 
 class ItemIndex:
     def __init__(self, items: Iterable[tuple[int, str]]):
-        words, self.bags, self.prints, self.ids = PlainWords(), [], [], []
+        self.bags, self.prints, self.ids = [], [], []
         self.by_size: dict[int, list[dict[int, list[int]]]] = {}
         every = []
         for item_id, text in items:
-            h = words.of(text or "")
+            h = plain_words([text])[0]
             if not len(h):
                 continue
             s = shingles(h)
@@ -155,14 +142,12 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 def hits(spark: SparkSession, text: Column, items: list[tuple[int, str]]) -> Column:
     """Column of the items found in a text; empty for a null text, an empty one and a clean one."""
     index = spark.sparkContext.broadcast(ItemIndex(items))
-    state: dict = {}
-
     @F.arrow_udf(HITS)
     def found(texts: pa.Array) -> pa.Array:
-        words = state.setdefault("words", PlainWords())
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32())]))
         names = ("item_id", "similarity", "start_word", "n_words")
-        return pa.array([[dict(zip(names, x, strict=True)) for x in index.value.search(words.of(t.as_py() or ""))] for t in texts], kind)
+        every = (h for k in range(0, len(texts), 256) for h in plain_words(texts.slice(k, 256).to_pylist()))
+        return pa.array([[dict(zip(names, x, strict=True)) for x in index.value.search(h)] for h in every], kind)
 
     return found(text)
 

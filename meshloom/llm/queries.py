@@ -11,6 +11,7 @@ from .chat import op4_chat_formatting
 from .decontaminate import op8_decontamination
 from .embedding import op6_embedding_near_dedup
 from .packing import op5_packing
+from .pii import op1_pii
 from .simhash import op10_simhash_near_dedup
 from .substring import op3_substring_dedup
 from .token_files import op9_token_files
@@ -18,6 +19,7 @@ from .toxicity import op2_toxicity
 from .urlfilter import op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_formatting": op4_chat_formatting,

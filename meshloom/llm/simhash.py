@@ -119,6 +119,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: those with its smallest doc_id.
+
+    Of repeated rows of one doc_id in a group one stays. Rows with a null doc_id can't be told apart and all stay."""
+    groups = near_duplicates(docs, id_col, text_col)
+    stays = stash(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stays")).agg(F.count("*").alias("__n")), "stays")
+    own = F.col(id_col).cast("long")
+    kept = docs.join(stays, own == F.col("__stays"), "left_semi")
+    if stays.where("__n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 

@@ -1,7 +1,7 @@
 """Toxicity of texts by a convolutional classifier, trained in numpy.
 
-Words, without letter case and outer punctuation, are hashed into embedding rows: one for the word, two for its first four
-and six letters, so that an unseen form of a seen stem is known; the three are added. Filters over one, two and three words
+Words, without letter case and punctuation, are hashed into embedding rows: one for the word, two for its first four and
+six bytes, so that an unseen form of a seen stem is known; the three are added. Filters over one, two and three words
 slide over the whole text; the maximum of each filter is a feature of a logistic layer. Training is by AdaGrad; the
 gradient of a maximum concerns one window, so a text costs one pass. The first embedding column starts at the shrunk
 log-odds of the word, which lets rare words be learned from few examples. On rows kept out of the fit, the score is
@@ -13,7 +13,6 @@ For scoring, filters are multiplied into the embedding table once, so that a win
 
 from __future__ import annotations
 
-import string
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, read_table
+from .common import WHITE_SPACE_AND_PUNCTUATION, hashed_words, read_table
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, STEMS = 1 << 15, 12, 8, (1, 2, 3), (4, 6)
 #: Labelled rows that a fit uses at most, of each class.
@@ -30,24 +29,14 @@ EPOCHS = 4
 THRESHOLD = 0.3
 
 
-class WordIds(dict):
-    """Word to its rows: the word's and its stems'; row 0, which stays zero, for a stem that it is too short for."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        plain = word.decode("utf-8", "replace").lower().strip(string.punctuation)
-        rows = [xxhash.xxh3_64_intdigest(plain.encode()) % (BUCKETS - 1) + 1 if plain else 0]
-        rows += [xxhash.xxh3_64_intdigest(plain[:n].encode(), n) % (BUCKETS - 1) + 1 if len(plain) >= n else 0 for n in STEMS]
-        k = self[word] = tuple(rows)
-        return k
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()
-        ids = np.array([*map(self.__getitem__, words)], dtype=np.int32).reshape(-1, 1 + len(STEMS))
-        return np.concatenate((ids[ids[:, 0] > 0], np.zeros((max(WIDTHS) - 1, ids.shape[1]), np.int32)))
+def rows_of(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text, the rows of its words: the word's and its stems'; row 0, which stays zero, for a stem that a word is too
+    short for, and at the end for the last windows."""
+    bodies = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    h, counts = hashed_words(bodies, WHITE_SPACE_AND_PUNCTUATION, STEMS)
+    ids = np.where(h > 0, h % np.uint64(BUCKETS - 1) + np.uint64(1), np.uint64(0)).astype(np.int32)
+    pad = np.zeros((max(WIDTHS) - 1, ids.shape[1]), np.int32)
+    return [np.concatenate((x, pad)) for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 def _sigmoid(x):
@@ -222,20 +211,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 def word_ids(text: Column) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        words = WordIds()
-        return pa.array([words.of(t.as_py()).astype("<i4").tobytes() for t in texts], pa.binary())
+        return pa.array([x.astype("<i4").tobytes() for k in range(0, len(texts), 256) for x in rows_of(texts.slice(k, 256).to_pylist())], pa.binary())
 
     return ids(text)
 
 
 def scored(spark: SparkSession, model: Model, text: Column) -> Column:
     """Column of scores; a null text is scored as an empty one."""
-    held, state = spark.sparkContext.broadcast(model), {}
+    held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        words = state.setdefault("words", WordIds())
-        return pa.array([held.value.score(words.of(t.as_py())) for t in texts], pa.float64())
+        return pa.array([held.value.score(x) for k in range(0, len(texts), 256) for x in rows_of(texts.slice(k, 256).to_pylist())], pa.float64())
 
     return score(text)
 
