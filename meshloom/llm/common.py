@@ -62,25 +62,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("body"))
 
 
-class HashedWords(dict):
-    """Word to 64-bit hash, filled as words come up and emptied when full."""
-
-    def __init__(self, seed: int = 0):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def _table(separators: bytes) -> np.ndarray:
     is_separator = np.zeros(256, bool)
     is_separator[list(separators)] = True

@@ -1,122 +1,178 @@
 """Removal of word windows that a document with a smaller id has already.
 
-Level-wise doubling. The first level looks for repeated windows of half the length (7 words for a window of 13); only
-where such a window occurs in two documents is it extended to the full length, two halves that overlap by a word.
-Nothing longer is needed: a longer repeat consists of repeated windows of the full length.
+Level-wise doubling. Windows of half the length (7 words for a window of 13) are looked for first; only where one occurs in
+two documents is it extended, to the 19 words that all full windows over it cover together. Where those repeat too, all
+these windows are settled at once, which is the case all through a long passage. Only where a half window has several
+extensions, at the ends of passages, are the full windows themselves compared. Nothing longer than that is needed: a longer
+repeat consists of repeated full windows.
 
 The first level needn't index every half window. In each full window the half window of the least hash is its anchor.
 Anchors depend on the words alone, so equal full windows have equal anchors, and a quarter of the positions is enough.
-The second level compares 128-bit hashes of the full windows at surviving anchors.
+What is decided is decided by 128 bits of hash.
 
-Shuffled: two longs for an anchor, twice; the texts by id, twice; the surviving windows. Groups are never gathered: the
-least id of a window is an aggregate, and the joins back have one row a key on one side, so that a hot key is split.
+Groups are never gathered: the least id of a window is an aggregate, and the joins back have one row a key on one side, so
+that a hot key is split. Between levels, what is left is written to the shared folder and the shuffle files are freed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, HashedWords, forget, id_and_text, mixed, read_table, rolled, stash
+from .common import BASES, forget, hashed_words, id_and_text, mixed, read_table, rolled, stash
 
 WINDOW = 13
-
-
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of the anchor of each full window, hash of each half window, its order). The leftmost least hash wins."""
-    half = (window + 1) // 2
-    h = mixed(rolled(hashes, half, BASES[0]))
-    if len(hashes) < window:
-        return np.zeros(0, np.int64), h, h
-    inside = window - half + 1
-    return np.arange(len(h) - inside + 1) + sliding_window_view(h, inside).argmin(axis=1), h, h
-
-
-def _anchor_rows(window: int, with_position: bool):
+#: Documents that are hashed together.
+TOGETHER = 256
+
+
+def half_of(window: int) -> int:
+    return (window + 1) // 2
+
+
+def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
+    out, done = h, 1
+    while done < width:
+        step = min(done, width - done)
+        out = np.minimum(out[:-step], out[step:])
+        done += step
+    return out
+
+
+class Windows:
+    """The words of some documents in one row, and what is asked about their windows."""
+
+    def __init__(self, ids: list, bodies: list[bytes], window: int):
+        self.window, self.half = window, half_of(window)
+        self.words, counts = hashed_words(bodies)
+        ends = np.cumsum(counts)
+        self.doc = np.repeat(np.arange(len(bodies)), counts)
+        self.begin, self.end = np.repeat(ends - counts, counts), np.repeat(ends, counts)
+        self.id = np.array([-1 if x is None else x for x in ids], np.int64)
+        known = np.array([x is not None for x in ids], bool)
+        n, w = len(self.words), window
+        self.full = np.zeros(0, bool)
+        if n >= w:
+            at = np.arange(n - w + 1)
+            self.full = (at + w <= self.end[: n - w + 1]) & known[self.doc[: n - w + 1]]
+        self.h = mixed(rolled(self.words, self.half, BASES[0]))
+
+    def anchors(self) -> np.ndarray:
+        """Positions of half windows that are the least of a full window; of equal ones all."""
+        chosen = np.zeros(len(self.h), bool)
+        if len(self.full):
+            inside = self.window - self.half + 1
+            least = _sliding_least(self.h, inside)
+            for o in range(inside):
+                chosen[o : o + len(least)] |= self.full & (self.h[o : o + len(least)] == least)
+        return np.nonzero(chosen)[0]
+
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """Hash of all that the full windows over these half windows cover, inside the document."""
+        reach = self.window - self.half
+        first, last = np.maximum(self.begin[at], at - reach), np.minimum(self.end[at], at + self.half + reach)
+        base, back = BASES[1], pow(BASES[1], -1, 1 << 64)
+        up, down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(self.words), b, np.uint64)))) for b in (base, back))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * up[:-1], dtype=np.uint64)))
+        return mixed((sums[last] - sums[first]) * down[first] + (at - first).astype(np.uint64) * np.uint64(256) + (last - at).astype(np.uint64))
+
+    def over(self, places: list[np.ndarray | None]) -> np.ndarray:
+        """Positions of the full windows over the half windows at these places of each document."""
+        marked = np.zeros(len(self.words) + 1, np.int32)
+        firsts = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=len(self.id)))))
+        inside = self.window - self.half + 1
+        for k, p in enumerate(places):
+            if p is not None and len(p):
+                at = firsts[k] + np.unique(p)
+                np.add.at(marked, np.maximum(at - inside + 1, firsts[k]), 1)
+                np.add.at(marked, at + 1, -1)
+        return np.nonzero((np.cumsum(marked)[: len(self.full)] > 0) & self.full)[0]
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        return (at - self.begin[at]).astype(np.int32)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, TOGETHER):
+            yield whole.slice(at, TOGETHER)
+
+
+def _long(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64))
+
+
+def _anchor_rows(window: int, more: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashedWords()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                keys, ids, places = [], [], []
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    where, h, _ = anchors(cache.of(body.split()), window)
-                    if doc is None or not len(where):
-                        continue
-                    where = np.unique(where)
-                    got = h[where] if with_position else np.unique(h[where])
-                    keys.append(got)
-                    ids.append(np.full(len(got), doc, np.int64))
-                    places.append(where.astype(np.int32))
-                if keys:
-                    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))]
-                    if with_position:
-                        columns.append(pa.array(np.concatenate(places)))
-                    yield pa.record_batch(columns, names=["h", "doc_id", "pos"][: len(columns)])
+        for batch in _chunks(batches):
+            w = Windows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window)
+            at = w.anchors()
+            columns = [_long(w.h[at]), pa.array(w.id[w.doc[at]])]
+            if more:
+                columns += [_long(w.around(at)), pa.array(w.place(at))]
+            yield pa.record_batch(columns, names=["h", "doc_id", "around", "pos"][: len(columns)])
 
     return rows
 
 
 def _full_rows(window: int):
-    """The full windows whose anchor survived: two hashes, id and first word of each."""
+    """The full windows over the given half windows: two hashes, id and first word of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = HashedWords(0), HashedWords(1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                out: list[tuple] = []
-                for doc, body, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    words = body.split()
-                    h = one.of(words)
-                    where, _, _ = anchors(h, window)
-                    at_all = np.nonzero(np.isin(where, places.values.to_numpy()))[0]
-                    a, b = mixed(rolled(h, window, BASES[0]))[at_all], mixed(rolled(two.of(words), window, BASES[1]))[at_all]
-                    out.append((a, b, np.full(len(a), doc, np.int64), at_all.astype(np.int32)))
-                a, b, ids, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids), pa.array(pos)], names=["h1", "h2", "doc_id", "pos"])
+        for batch in _chunks(batches):
+            w = Windows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window)
+            at = w.over([p.values.to_numpy() if p.is_valid else None for p in batch.column(2)])
+            a, b = (mixed(rolled(w.words, window, base))[at] for base in BASES)
+            yield pa.record_batch([_long(a), _long(b), pa.array(w.id[w.doc[at]]), pa.array(w.place(at))], names=["h1", "h2", "doc_id", "first"])
 
     return rows
 
 
-def _cut(window: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for body, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = body.split()
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _chunks(batches):
+        n_words, n_removed, kept = [], [], []
+        for body, ranges in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = body.split()
+            n_words.append(len(words))
+            if ranges.is_valid:
                 gone = np.zeros(len(words) + 1, np.int32)
-                if starts.is_valid:
-                    places = np.unique(starts.values.to_numpy())
-                    np.add.at(gone, places, 1)
-                    np.add.at(gone, places + window, -1)
-                stays = np.cumsum(gone)[:-1] == 0
-                n_words.append(len(words))
-                n_removed.append(len(words) - int(stays.sum()))
-                kept.append(b" ".join(w for w, x in zip(words, stays.tolist(), strict=True) if x))
-            yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+                both = ranges.values
+                np.add.at(gone, np.clip(both.field(0).to_numpy(), 0, len(words)), 1)
+                np.add.at(gone, np.clip(both.field(1).to_numpy(), 0, len(words)), -1)
+                words = list(compress(words, (np.cumsum(gone)[:-1] == 0).tolist()))
+            n_removed.append(n_words[-1] - len(words))
+            kept.append(b" ".join(words))
+        yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ranges array<struct<first: int, last: int>>): words, last exclusive, that are covered by windows whose word
+    sequence also starts in a document with a smaller id. A range may reach over the ends of its document."""
+    texts = id_and_text(docs, id_col, text_col)
+    least_most = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]
+    half, reach = half_of(window), window - half_of(window)
 
-    return rows
+    shared = stash(texts.mapInArrow(_anchor_rows(window, False), "h long, doc_id long").groupBy("h").agg(*least_most).where("least < most").select("h"), "halves")
+    found = stash(texts.mapInArrow(_anchor_rows(window, True), "h long, doc_id long, around long, pos int").join(shared, "h"), "anchors")
+    forget(shared)
 
+    first = stash(found.groupBy("h", "around").agg(*least_most), "first")
+    settled = stash(found.join(first.where("least < most"), ["h", "around"]).where("least < doc_id").select("doc_id", (F.col("pos") - reach).alias("first"), (F.col("pos") + half + reach).alias("last")), "settled")
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, starts array<int>): first words of the windows whose word sequence also starts in a document with a smaller id."""
-    texts = id_and_text(docs, id_col, text_col)
-    shared = stash(texts.mapInArrow(_anchor_rows(window, False), "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h"), "anchors")
-    found = stash(texts.mapInArrow(_anchor_rows(window, True), "h long, doc_id long, pos int").join(shared, "h").select("doc_id", "pos"), "places")
-    forget(shared)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    full = stash(texts.join(by_doc, "doc_id").select("doc_id", "body", "places").mapInArrow(_full_rows(window), "h1 long, h2 long, doc_id long, pos int"), "windows")
+    # an anchor stays open in the first document of each of its extensions, if it has several, in several documents
+    several = first.groupBy("h").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("h")
+    open_ = first.join(several, "h").select("h", "around", "least")
+    places = stash(found.join(open_, ["h", "around"]).where("doc_id = least").groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "open")
     forget(found)
-    first = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    later = stash(full.join(first, ["h1", "h2"]).where("least < doc_id").select("doc_id", "pos"), "later")
-    forget(full)
-    return later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    full = stash(texts.join(places, "doc_id").select("doc_id", "body", "places").mapInArrow(_full_rows(window), "h1 long, h2 long, doc_id long, first int"), "windows")
+    earliest = full.groupBy("h1", "h2").agg(*least_most).where("least < most").select("h1", "h2", "least")
+    later = full.join(earliest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "first", (F.col("first") + window).alias("last"))
+    return stash(settled.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +182,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     words; texts shorter than the window, empty ones and rows with a null doc_id lose nothing. Rows with one doc_id don't
     count against each other; each is cut at the windows that a smaller id has (rows that differ under one id: at all
     such windows of that id). Other columns are ignored. An empty table gives no rows."""
-    starts = repeated_windows(docs, window, id_col, text_col)
-    return id_and_text(docs, id_col, text_col).join(starts, "doc_id", "left").select("doc_id", "body", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary")
+    ranges = repeated_ranges(docs, window, id_col, text_col)
+    return id_and_text(docs, id_col, text_col).join(ranges, "doc_id", "left").select("doc_id", "body", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
