@@ -63,27 +63,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(fps: DataFrame) -> DataFrame:
     """fps (fp), distinct -> (a, b): edges that connect whatever fingerprints of at most two differing bits connect."""
-    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     low = F.lit(0xFFFFFFFF)
+    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     variants = spread.select(
         "fp",
         F.expr("shiftrightunsigned(fp, i & 32)").bitwiseAND(low).bitwiseAND(F.expr("~shiftleft(1L, i & 31)")).bitwiseOR(F.expr("shiftleft(cast(i as long), 32)")).alias("variant"),
     )
-    buckets = stash(variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
-    close = F.expr("bit_count(a ^ b) <= 2")
-    twos = buckets.where("n = 2").select("a", "b").where(close)
-
-    some = variants.join(buckets.where(f"n > 2 and n <= {PAIRED_BUCKET}").select("variant"), "variant")
-    members = stash(some, "members")
-    left, right = members.select("variant", F.col("fp").alias("a")), members.select(F.col("variant").alias("same"), F.col("fp").alias("b"))
+    shared = stash(variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("variant"), "shared")
+    # who is in a shared bucket: its deleted bit has two values, so two whole segments lead to it; 2 rows a fingerprint, not 64
+    deleted = F.expr("shiftleft(1L, cast(shiftright(variant, 32) as int) & 31)")
+    whole = shared.select("variant", F.expr("cast(shiftright(variant, 37) as int)").alias("s"), F.col("variant").bitwiseAND(low).alias("masked"))
+    doors = whole.select("variant", "s", F.explode(F.array(F.col("masked"), F.col("masked").bitwiseOR(deleted))).alias("segment"))
+    segments = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("s")).select("fp", "s", F.expr("shiftrightunsigned(fp, s * 32) & 4294967295").alias("segment"))
+    members = stash(doors.join(segments, ["s", "segment"]).select("variant", "fp"), "members")
+
+    sizes = members.groupBy("variant").agg(F.count("*").alias("n"))
+    few = members.join(sizes.where(f"n <= {PAIRED_BUCKET}"), "variant")
+    left, right = few.select("variant", F.col("fp").alias("a")), members.select(F.col("variant").alias("same"), F.col("fp").alias("b"))
     # a pair with an equal segment meets under all 32 deletions of it; the first one alone reports it
     differs = F.expr("shiftrightunsigned(a ^ b, cast(shiftright(variant, 32) as int) & 32) & 4294967295")
-    deleted = F.expr("shiftleft(1L, cast(shiftright(variant, 32) as int) & 31)")
     met = (F.col("variant") == F.col("same")) & F.expr("a < b and bit_count(a ^ b) <= 2") & ((differs == deleted) | ((differs == 0) & (deleted == 1)))
-    paired = left.join(right, met).select("a", "b")
-
-    crowded = variants.join(buckets.where(f"n > {PAIRED_BUCKET}").select("variant"), "variant").select("fp").distinct()
-    return twos.union(paired).union(_two_deleted(stash(crowded, "crowded"))).distinct()
+    crowded = members.join(sizes.where(f"n > {PAIRED_BUCKET}").select("variant"), "variant").select("fp").distinct()
+    return left.join(right, met).select("a", "b").union(_two_deleted(stash(crowded, "crowded"))).distinct()
 
 
 def _two_deleted(fps: DataFrame) -> DataFrame:
