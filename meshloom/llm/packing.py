@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .tokens import Encoder
+from .tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
 #: Tokens that wait in a task to be packed together.
@@ -122,11 +122,11 @@ def _pack(tokenizer: str, end_id: int, tiers: tuple[int, ...]):
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
+        model, packer = encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(at, 256), []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
                     out += packer.add(doc, ids + end)
                 if out:
                     yield _table(out)

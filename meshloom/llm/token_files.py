@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, read_table
-from .tokens import Encoder
+from .tokens import encoder
 
 FORMAT = {
     "compression": "zstd",
@@ -36,11 +36,11 @@ def _encoded(tokenizer: str, end_id: int, bounds: list[int]):
     edges, end = np.array(bounds, np.int64), np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        model = encoder(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [np.frombuffer(x + end, "<u4").astype("<u2").tobytes() for x in encoder.encode(batch.column(1).to_pylist())]
+                ids = [np.frombuffer(x + end, "<u4").astype("<u2").tobytes() for x in model.encode(batch.column(1).to_pylist())]
                 part = [0 if x is None else int(np.searchsorted(edges, x, "right")) for x in batch.column(0).to_pylist()]
                 yield pa.record_batch([batch.column(0), pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "part", "packed"])
 

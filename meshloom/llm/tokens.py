@@ -1,8 +1,8 @@
 """Token ids of whole texts, by the tokenizers library.
 
-A text is cut before every space that follows a character other than white space. Byte-level and word-level
-pre-tokenizers have a boundary there in any case, so the ids of the parts, in order, are the ids of the text; and as most
-parts come again and again, a bounded cache spares most of the work.
+A text is cut at every space that follows a character other than white space. Byte-level and word-level pre-tokenizers
+have a boundary there in any case, so the ids of the parts, in order, are the ids of the text; and as most parts come again
+and again, a bounded cache, kept as long as the worker process lives, spares most of the work.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ import re
 
 import numpy as np
 
-from .common import CACHE_ENTRIES
-
 #: White space before a space: there the text isn't cut.
 _UNSURE = re.compile(r"\s ")
 _PART = re.compile(r"\s*\S+|\s+$")
+#: Parts in each of the two generations of the cache: about 100 MB. When the young one is full it becomes the old one.
+GENERATION = 500_000
+#: A special token of both vocabularies.
+SEPARATOR = "<|endoftext|>"
+#: Longer parts aren't kept.
+KEPT_CHARS = 200
 
 
 def vocabulary(name: str) -> str:
@@ -35,31 +39,66 @@ class Encoder:
 
         self.model = Tokenizer.from_file(vocabulary(name))
         self.model.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.joined = Tokenizer.from_file(vocabulary(name))
+        self.separator = self.joined.token_to_id(SEPARATOR)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def batch(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Parts without a special token's string are joined by one, which the library splits texts at
+        before all else, and encoded in one call."""
+        found: list[bytes] = [b""] * len(parts)
+        plain = [k for k, p in enumerate(parts) if "<|" not in p]
+        if plain:
+            ids = np.array(self.joined.encode_batch_fast([SEPARATOR.join([parts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.concatenate(([-1], np.nonzero(ids == self.separator)[0], [len(ids)]))
+            raw = ids.tobytes()
+            for k, a, b in zip(plain, (4 * (cuts[:-1] + 1)).tolist(), (4 * cuts[1:]).tolist(), strict=True):
+                found[k] = raw[a:b]
+        for k, p in enumerate(parts):
+            if "<|" in p:
+                found[k] = np.array(self.model.encode_batch_fast([p], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return found
 
     def parts(self, text: str) -> list[str]:
-        if "<|" in text:  # near a special token's string nothing is assumed
-            return [text]
+        """Keys of the cache. A key stands for a space and itself; with a zero byte before it, for itself alone."""
+        if not text:
+            return []
+        if "<|" in text or "\0" in text:  # near a special token's string nothing is assumed
+            return ["\0" + text]
         if _UNSURE.search(text):
-            return _PART.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return ["\0" + x for x in _PART.findall(text)]
+        parts = text.split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(x) if x else [] for x in texts]
-        cache = self.cache
-        new = list({p for parts in cut for p in parts if p not in cache})
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list({p for parts in cut for p in parts})
-        long: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for part, ids in zip(some, self.batch(some), strict=True):
-                (cache if len(part) < 200 else long)[part] = ids
-        if long:
-            return [b"".join([cache[p] if p in cache else long[p] for p in parts]) for parts in cut]
-        return [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+        cut = [self.parts(x) for x in texts]
+        young, old, new = self.young, self.old, []
+        for p in set().union(*cut):
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        long = []
+        for k in range(0, len(new), 5_000):
+            some = new[k : k + 5_000]
+            young.update(zip(some, self.batch([p[1:] if p[:1] == "\0" else " " + p for p in some]), strict=True))
+            long += [p for p in some if len(p) > KEPT_CHARS]
+        out = [b"".join(map(young.__getitem__, parts)) for parts in cut]
+        for p in long:
+            del young[p]
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """The one of this process."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
