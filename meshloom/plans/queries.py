@@ -1,6 +1,358 @@
-"""The queries of the mesh operators, by name, and their SQL."""
+"""The queries of the mesh operators over meshes derived from the tables, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import bridges as B
+from ..operators import dual as U
+from ..operators import ingest as I
+from ..operators import partition as P
+from ..operators import pieces as C
+from ..operators import spatial as S
+from ..operators import triage as T
+from ..schema import Mesh
+from ..sources import obj, sinks
+from . import driver_mesh as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+WHOLE, SEGMENTS = D.mesh_vertices(), D.segment_vertices()
+N_PIECES = 7
+#: Synthetic regions of a segment's mesh: bands of 100 faces.
+REGION = "CAST(floor(fid / 100) AS BIGINT)"
+COMP = "CAST(patch AS BIGINT)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(x: Column | str, name: str | None = None) -> Column:
+    c = F.col(x) if isinstance(x, str) else x
+    return (F.round(c, 6) + 0.0).alias(name or x)
+
+
+def s6(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0.0 AS {name}"
+
+
+def _whole(spark, sf_dir) -> Mesh:
+    return D.load(spark, sf_dir, WHOLE)
+
+
+def _segments(spark, sf_dir) -> Mesh:
+    return D.load(spark, sf_dir, SEGMENTS)
+
+
+def _working(mesh: Mesh) -> I.Working:
+    """A mesh whose vertices are distinct, without welding."""
+    return I.Working(mesh.vertex, I.with_geometry(mesh.face, mesh.vertex), None, None)
+
+
+def _label(face: DataFrame) -> DataFrame:
+    return face.select("mesh_id", "fid", F.expr(REGION).alias("region"))
+
+
+def _abar(face: DataFrame, n: int) -> DataFrame:
+    return face.groupBy("mesh_id").agg((F.sum("area") / n).alias("abar"))
+
+
+@query(D.with_mesh(WHOLE) + f""" SELECT mesh_id, {COMP} AS comp, count(*) AS faces, {s6('sum(area)', 'area')}, {s6('sum(cx * area) / sum(area)', 'cx')}, {s6('sum(cy * area) / sum(area)', 'cy')}, {s6('sum(cz * area) / sum(area)', 'cz')}, max(b.boundary) AS boundary_edges
+    FROM geom JOIN (SELECT patch AS p, count(*) AS boundary FROM (SELECT patch, lo, hi FROM side GROUP BY patch, lo, hi HAVING count(*) = 1) e GROUP BY patch) b ON b.p = patch GROUP BY mesh_id, patch""")
+def component_summary(spark, sf_dir):
+    """Flagship: components of faces with their faces, area, centroid and boundary edges."""
+    w = _working(_whole(spark, sf_dir))
+    comp = T.face_components(w.face)
+    edge = I.edge_incidence(w.face).where("n = 1").select("mesh_id", F.col("faces")[0].alias("fid")).join(comp, ["mesh_id", "fid"]).groupBy("mesh_id", "comp").agg(F.count("*").alias("boundary_edges"))
+    rows = T.component_table(w.face, comp).join(edge, ["mesh_id", "comp"], "left")
+    return rows.select("mesh_id", "comp", "faces", r6("area"), r6("cx"), r6("cy"), r6("cz"), F.coalesce("boundary_edges", F.lit(0)).alias("boundary_edges"))
+
+
+_FAR = lambda k: f"sqrt((x{k} - cx) * (x{k} - cx) + (y{k} - cy) * (y{k} - cy) + (z{k} - cz) * (z{k} - cz))"
+
+
+@query(D.with_mesh(WHOLE) + f" SELECT mesh_id, fid, {s6('area', 'area')}, {s6('cx', 'cx')}, {s6('cy', 'cy')}, {s6('cz', 'cz')}, {s6('nx', 'nx')}, {s6('ny', 'ny')}, {s6('nz', 'nz')}, {s6('greatest(' + ', '.join(map(_FAR, range(3))) + ')', 'extent')} FROM geom")
+def face_geometry(spark, sf_dir):
+    w = _working(_whole(spark, sf_dir))
+    return w.face.withColumn("extent", g.face_extent(F.col("p"))).select("mesh_id", "fid", *[r6(c) for c in ("area", "cx", "cy", "cz", "nx", "ny", "nz", "extent")])
+
+
+_MOVED = ", ".join([s6("(max(x) - min(x)) / max(m)", "ex"), s6("(max(y) - min(y)) / max(m)", "ey"), s6("(max(z) - min(z)) / max(m)", "ez"), s6("-(max(x) - min(x)) / max(m) / 2", "lox"), s6("CAST(0 AS DOUBLE)", "loy"), s6("-(max(z) - min(z)) / max(m) / 2", "loz")])
+
+
+@query(f"WITH vert AS ({SEGMENTS}) SELECT mesh_id, count(*) AS vertices, {_MOVED} FROM (SELECT *, greatest(max(x) OVER w1 - min(x) OVER w1, max(y) OVER w1 - min(y) OVER w1, max(z) OVER w1 - min(z) OVER w1) AS m FROM vert WINDOW w1 AS (PARTITION BY mesh_id)) q GROUP BY mesh_id")
+def normalized_bounds(spark, sf_dir):
+    moved = I.normalize(_segments(spark, sf_dir))
+    b = I.bounds(moved.vertex).join(moved.vertex.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
+    return b.select("mesh_id", "vertices", *[r6(F.col(f"hi{k}") - F.col(f"lo{k}"), f"e{k}") for k in "xyz"], *[r6(f"lo{k}") for k in "xyz"])
+
+
+@query(D.with_mesh(SEGMENTS) + " SELECT mesh_id, CASE WHEN n = 1 THEN 'boundary' WHEN n = 2 THEN 'manifold' ELSE 'nonmanifold' END AS kind, count(*) AS edges FROM (SELECT mesh_id, lo, hi, count(*) AS n FROM side GROUP BY mesh_id, lo, hi) e GROUP BY 1, 2")
+def edge_classes(spark, sf_dir):
+    return I.edge_incidence(_segments(spark, sf_dir).face).groupBy("mesh_id", "kind").agg(F.count("*").alias("edges"))
+
+
+@query(D.with_mesh(SEGMENTS) + f" SELECT v.mesh_id, count(*) AS vertices, {s6('sum(x)', 'sx')}, {s6('sum(z)', 'sz')}, max(e.n) AS boundary_edges FROM vert v JOIN (SELECT mesh_id, count(*) AS n FROM (SELECT mesh_id, lo, hi FROM side GROUP BY mesh_id, lo, hi HAVING count(*) = 1) b GROUP BY mesh_id) e ON e.mesh_id = v.mesh_id GROUP BY v.mesh_id")
+def weld_soup(spark, sf_dir):
+    """Faces with corners of their own, welded together again."""
+    mesh = _segments(spark, sf_dir)
+    own = mesh.face.select("mesh_id", "fid", F.posexplode("v").alias("c", "vid")).join(mesh.vertex, ["mesh_id", "vid"]).select("mesh_id", "fid", (F.col("fid") * 3 + F.col("c")).alias("vid"), "x", "y", "z")
+    face = mesh.face.withColumn("v", F.array(*[F.col("fid") * 3 + k for k in range(3)]))
+    w = I.ingest(Mesh(own.drop("fid"), face))
+    edges = I.edge_incidence(w.face).where("n = 1").groupBy("mesh_id").agg(F.count("*").alias("boundary_edges"))
+    return w.vertex.groupBy("mesh_id").agg(F.count("*").alias("vertices"), r6(F.sum("x"), "sx"), r6(F.sum("z"), "sz")).join(edges, "mesh_id")
+
+
+@query(D.with_mesh(SEGMENTS) + f" SELECT mesh_id, count(*) AS original_face_count, CAST(sum(CASE WHEN area < 0.55 THEN 1 ELSE 0 END) AS BIGINT) AS degenerate_face_count, CAST(sum(CASE WHEN area >= 0.55 THEN 1 ELSE 0 END) AS BIGINT) AS surviving_face_count, {s6('sum(CASE WHEN area >= 0.55 THEN area ELSE 0 END)', 'area_after')} FROM geom GROUP BY mesh_id")
+def ingest_stats(spark, sf_dir):
+    stats = I.ingest(_segments(spark, sf_dir), 0.0, 0.55).stats
+    return stats.select("mesh_id", "original_face_count", "degenerate_face_count", "surviving_face_count", r6("area_after"))
+
+
+_COMPS = f"comps AS (SELECT mesh_id, {COMP} AS comp, sum(area) AS area, sum(cx * area) / sum(area) AS cx, sum(cy * area) / sum(area) AS cy, sum(cz * area) / sum(area) AS cz FROM geom GROUP BY mesh_id, patch), marked AS (SELECT *, sum(area) OVER () / {N_PIECES} AS abar, area >= 0.25 * sum(area) OVER () / {N_PIECES} AS is_major FROM comps)"
+_HOSTS = "hosts AS (SELECT s.comp, arg_min(m.comp, (s.cx - m.cx) * (s.cx - m.cx) + (s.cy - m.cy) * (s.cy - m.cy) + (s.cz - m.cz) * (s.cz - m.cz)) AS host FROM marked s JOIN marked m ON m.is_major AND NOT s.is_major GROUP BY s.comp)"
+
+
+@query(D.with_mesh(WHOLE) + f""", {_COMPS}, {_HOSTS},
+    weights AS (SELECT m.comp, m.area + coalesce((SELECT sum(s.area) FROM marked s JOIN hosts h ON h.comp = s.comp WHERE h.host = m.comp), 0) AS weight FROM marked m WHERE m.is_major),
+    quotas AS (SELECT comp, weight / sum(weight) OVER () * ({N_PIECES} - count(*) OVER ()) AS q, {N_PIECES} - count(*) OVER () AS rest FROM weights),
+    ranked AS (SELECT comp, floor(q) AS whole, rest - sum(floor(q)) OVER () AS more, row_number() OVER (ORDER BY q - floor(q) DESC, comp) AS k FROM quotas)
+    SELECT mesh_id, m.comp, is_major, host, CAST(1 + whole + CASE WHEN k <= more THEN 1 ELSE 0 END AS BIGINT) AS pieces FROM marked m LEFT JOIN hosts h ON h.comp = m.comp LEFT JOIN ranked r ON r.comp = m.comp""")
+def triage_pieces(spark, sf_dir):
+    _, rows = T.triage(_working(_whole(spark, sf_dir)).face, N_PIECES)
+    return rows.select("mesh_id", "comp", "is_major", "host", "pieces")
+
+
+_SOLID = """SELECT s.mesh_id, s.comp AS sat, CAST(g.patch AS BIGINT) AS major, x0 - s.cx AS ax, y0 - s.cy AS ay, z0 - s.cz AS az, x1 - s.cx AS bx, y1 - s.cy AS by_, z1 - s.cz AS bz, x2 - s.cx AS dx, y2 - s.cy AS dy, z2 - s.cz AS dz FROM marked s JOIN geom g ON g.patch <> s.comp WHERE NOT s.is_major"""
+
+
+@query(D.with_mesh(WHOLE) + f""", {_COMPS}, seen AS ({_SOLID}),
+    sized AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS la, sqrt(bx * bx + by_ * by_ + bz * bz) AS lb, sqrt(dx * dx + dy * dy + dz * dz) AS ld FROM seen)
+    SELECT mesh_id, sat, major, {s6('sum(2 * atan2(ax * (by_ * dz - bz * dy) + ay * (bz * dx - bx * dz) + az * (bx * dy - by_ * dx), la * lb * ld + (ax * bx + ay * by_ + az * bz) * ld + (bx * dx + by_ * dy + bz * dz) * la + (dx * ax + dy * ay + dz * az) * lb)) / (4 * 3.141592653589793)', 'wn')} FROM sized GROUP BY mesh_id, sat, major""")
+def winding_numbers(spark, sf_dir):
+    w = _working(_whole(spark, sf_dir))
+    comp, rows = T.triage(w.face, N_PIECES)
+    major = w.face.join(comp, ["mesh_id", "fid"]).join(rows.where("is_major").select("mesh_id", "comp"), ["mesh_id", "comp"], "left_semi").select("mesh_id", F.col("comp").alias("other"), F.col("p").alias("op"))
+    return B.winding_numbers(rows, major).select("mesh_id", "sat", "major", r6("wn"))
+
+
+def _hits_sql() -> str:
+    dots = lambda a, b: " + ".join(f"{a}{k} * {b}{k}" for k in "xyz")
+    pairs = "pairs AS (SELECT s.mesh_id, CAST(s.patch AS BIGINT) AS sat, s.fid AS sat_face, CAST(m.patch AS BIGINT) AS other, m.fid AS other_face, s.nx * m.nx + s.ny * m.ny + s.nz * m.nz AS agreement, " + ", ".join(f"m.{k}1 - m.{k}0 AS ab{k}, m.{k}2 - m.{k}0 AS ac{k}, s.c{k} - m.{k}0 AS aq{k}, s.c{k} - m.{k}1 AS bq{k}, s.c{k} - m.{k}2 AS cq{k}" for k in "xyz") + " FROM geom s JOIN marked t ON t.comp = s.patch AND NOT t.is_major JOIN geom m ON m.patch <> s.patch)"
+    d = "dots AS (SELECT *, " + ", ".join(f"{dots(a, b)} AS d{n}" for n, (a, b) in enumerate((("ab", "aq"), ("ac", "aq"), ("ab", "bq"), ("ac", "bq"), ("ab", "cq"), ("ac", "cq")), 1)) + " FROM pairs)"
+    v3 = "vees AS (SELECT *, d3 * d6 - d5 * d4 AS va, d5 * d2 - d1 * d6 AS vb, d1 * d4 - d3 * d2 AS vc FROM dots)"
+    case = lambda a, b, c, e, f, h, i: f"CASE WHEN d1 <= 0 AND d2 <= 0 THEN {a} WHEN d3 >= 0 AND d4 <= d3 THEN {b} WHEN vc <= 0 AND d1 >= 0 AND d3 <= 0 THEN {c} WHEN d6 >= 0 AND d5 <= d6 THEN {e} WHEN vb <= 0 AND d2 >= 0 AND d6 <= 0 THEN {f} WHEN va <= 0 AND d4 - d3 >= 0 AND d5 - d6 >= 0 THEN {h} ELSE {i} END"
+    st = "placed AS (SELECT *, " + case("0", "1", "d1 / (d1 - d3)", "0", "0", "1 - (d4 - d3) / ((d4 - d3) + (d5 - d6))", "vb / (va + vb + vc)") + " AS s, " + case("0", "0", "0", "1", "d2 / (d2 - d6)", "(d4 - d3) / ((d4 - d3) + (d5 - d6))", "vc / (va + vb + vc)") + " AS t FROM vees)"
+    far = "far AS (SELECT mesh_id, sat, sat_face, other, other_face, agreement, sqrt(" + " + ".join(f"(aq{k} - s * ab{k} - t * ac{k}) * (aq{k} - s * ab{k} - t * ac{k})" for k in "xyz") + ") AS dist FROM placed)"
+    best = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id, sat, other_face ORDER BY dist, sat_face) AS k FROM far) q WHERE k = 1)"
+    top = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id, sat ORDER BY dist, other_face) AS r FROM best) q WHERE r <= 5)"
+    tau = "tau AS (SELECT patch, least(1.25 * sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)), max(cap)) AS tau FROM vert JOIN (SELECT 0.03 * sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) AS cap FROM vert) c ON true GROUP BY patch)"
+    return D.with_mesh(WHOLE) + f", {_COMPS}, {pairs}, {d}, {v3}, {st}, {far}, {best}, {top}, {tau} SELECT mesh_id, sat, sat_face, other, other_face, {s6('dist', 'dist')}, {s6('agreement', 'agreement')} FROM top JOIN tau ON patch = sat WHERE dist <= tau AND agreement >= 0"
+
+
+@query(_hits_sql())
+def bridges(spark, sf_dir):
+    w = _working(_whole(spark, sf_dir))
+    comp, rows = T.triage(w.face, N_PIECES)
+    return B.build_bridges(w, comp, rows).bridge.where("not via_enclosure").select("mesh_id", "sat", "sat_face", "other", "other_face", r6("dist"), r6("agreement"))
+
+
+_DUAL = """dual AS (SELECT p.mesh_id, p.fid AS a, q.fid AS b, p.lo, p.hi FROM side p JOIN side q ON q.mesh_id = p.mesh_id AND q.lo = p.lo AND q.hi = p.hi AND p.fid < q.fid),
+    off AS (SELECT d.*, a.cx AS acx, a.cy AS acy, a.cz AS acz, a.nx AS anx, a.ny AS any_, a.nz AS anz, b.cx AS bcx, b.cy AS bcy, b.cz AS bcz, b.nx AS bnx, b.ny AS bny, b.nz AS bnz, l.x AS px, l.y AS py, l.z AS pz, o.x AS ox, o.y AS oy, o.z AS oz
+      FROM dual d JOIN geom a ON a.mesh_id = d.mesh_id AND a.fid = d.a JOIN geom b ON b.mesh_id = d.mesh_id AND b.fid = d.b JOIN vert l ON l.mesh_id = d.mesh_id AND l.vid = d.lo JOIN vert o ON o.mesh_id = d.mesh_id AND o.vid = b.a + b.b + b.c - d.lo - d.hi),
+    costs AS (SELECT mesh_id, a, b, CASE WHEN anx * (ox - px) + any_ * (oy - py) + anz * (oz - pz) <= 0 THEN CAST(0 AS DOUBLE) ELSE greatest(1 - (anx * bnx + any_ * bny + anz * bnz), CAST(0 AS DOUBLE)) END AS concavity, sqrt((acx - bcx) * (acx - bcx) + (acy - bcy) * (acy - bcy) + (acz - bcz) * (acz - bcz)) AS far FROM off),
+    cost AS (SELECT mesh_id, a, b, concavity, greatest(far * (1 + 2 * concavity), CAST(1e-12 AS DOUBLE)) AS cost FROM costs)"""
+
+
+@query(D.with_mesh(SEGMENTS) + f", {_DUAL} SELECT mesh_id, a, b, {s6('cost', 'cost')}, {s6('concavity', 'concavity')} FROM cost")
+def dual_edges(spark, sf_dir):
+    return U.surface_edges(_working(_segments(spark, sf_dir))).select("mesh_id", "a", "b", r6("cost"), r6("concavity"))
+
+
+def _graph(spark, sf_dir):
+    w = _working(_segments(spark, sf_dir))
+    return w, w.face.select("mesh_id", "fid", F.lit(0).cast("long").alias("comp")), U.settle(U.surface_edges(w))
+
+
+@query(D.with_mesh(SEGMENTS).replace("WITH ", "WITH RECURSIVE ", 1) + f", {_DUAL}, both_ AS MATERIALIZED (SELECT mesh_id, a, b, cost FROM cost UNION ALL SELECT mesh_id, b, a, cost FROM cost), " + f"""reach(mesh_id, fid, dist) USING KEY (mesh_id, fid) AS (
+      SELECT DISTINCT mesh_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM cost
+      UNION SELECT n.mesh_id, n.fid, n.dist FROM (SELECT r.mesh_id, e.b AS fid, min(r.dist + e.cost) AS dist FROM reach r JOIN both_ e ON e.mesh_id = r.mesh_id AND e.a = r.fid GROUP BY r.mesh_id, e.b) n
+        LEFT JOIN recurring.reach o ON o.mesh_id = n.mesh_id AND o.fid = n.fid WHERE n.dist < coalesce(o.dist, CAST('Infinity' AS DOUBLE)))
+    SELECT mesh_id, fid, {s6('dist', 'dist')} FROM reach""")
+def seed_distances(spark, sf_dir):
+    """Shortest paths over faces from each mesh's first face."""
+    w, comp, dual = _graph(spark, sf_dir)
+    return P.distances(w, comp, dual, w.face.groupBy("mesh_id").agg(F.min("fid").alias("fid"))).select("mesh_id", "fid", r6("dist"))
+
+
+@query()
+def farthest_seeds(spark, sf_dir):
+    w, comp, dual = _graph(spark, sf_dir)
+    return P.seed(w, comp, dual, w.face.groupBy("mesh_id").agg(F.lit(0).cast("long").alias("comp"), F.lit(6).alias("pieces")))
+
+
+def _grown(spark, sf_dir):
+    w, comp, dual = _graph(spark, sf_dir)
+    seeds = P.seed(w, comp, dual, w.face.groupBy("mesh_id").agg(F.lit(0).cast("long").alias("comp"), F.lit(6).alias("pieces")))
+    none = seeds.limit(0).select("mesh_id", F.col("major").alias("sat"), F.col("fid").alias("other_face"))
+    return w, comp, dual, seeds, none, _abar(w.face, 6)
+
+
+@query()
+def capacity_growth(spark, sf_dir):
+    labels, claims = P.grow(*_grown(spark, sf_dir))
+    return labels.join(claims.select("mesh_id", "fid", "seq", r6("key")), ["mesh_id", "fid"], "left")
+
+
+@query()
+def relaxed_labels(spark, sf_dir):
+    return P.relax(*_grown(spark, sf_dir), i_max=4)["label"]
+
+
+@query()
+def relaxed_iterations(spark, sf_dir):
+    return P.relax(*_grown(spark, sf_dir), i_max=4)["iteration"].select("mesh_id", "it", r6("deviation"), r6("seam"), r6("score"), "best", "converged")
+
+
+@query()
+def region_medoids(spark, sf_dir):
+    w, comp, dual = _graph(spark, sf_dir)
+    return P.medoids(w, comp, dual, _label(w.face))
+
+
+@query()
+def dumped_orphans(spark, sf_dir):
+    """Labels with islands: every seventh face of a band is given to the next one."""
+    w, comp, dual = _graph(spark, sf_dir)
+    labels = _label(w.face).withColumn("region", F.when(F.col("fid") % 7 == 0, (F.col("region") + 1) % 3).otherwise(F.col("region")))
+    return P.dump_orphans(w, comp, dual, labels)[0]
+
+
+@query()
+def refined_faces(spark, sf_dir):
+    mesh = _segments(spark, sf_dir)
+    _, face = P.refine(mesh.face, mesh.vertex, mesh.vertex.select("mesh_id").distinct().withColumn("a_max", F.lit(0.4)))
+    return face
+
+
+_EIG = """cov AS (SELECT mesh_id, region, count(*) AS faces, sum(area) AS area, covar_pop(cx, cx) AS xx, covar_pop(cy, cy) AS yy, covar_pop(cz, cz) AS zz, covar_pop(cx, cy) AS xy, covar_pop(cx, cz) AS xz, covar_pop(cy, cz) AS yz FROM lab GROUP BY mesh_id, region),
+    e1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cov), e2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM e1),
+    e3 AS (SELECT *, ((xx - q) / p * ((yy - q) / p * (zz - q) / p - yz / p * yz / p) - xy / p * (xy / p * (zz - q) / p - yz / p * xz / p) + xz / p * (xy / p * yz / p - (yy - q) / p * xz / p)) / 2 AS r FROM e2),
+    e4 AS (SELECT *, acos(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), r))) / 3 AS phi FROM e3), e5 AS (SELECT *, q + 2 * p * cos(phi) AS high, q + 2 * p * cos(phi + 2.0943951023931953) AS low FROM e4),
+    regions AS (SELECT mesh_id, region, faces, area, high / greatest(3 * q - high - low, high * 1e-9, 1e-300) AS elongation FROM e5)"""
+_LAB = D.with_mesh(SEGMENTS) + f", lab AS (SELECT *, {REGION} AS region FROM geom)"
+
+
+@query(f"{_LAB}, {_EIG} SELECT mesh_id, region, faces, {s6('area', 'area')}, {s6('elongation', 'elongation')} FROM regions")
+def region_measures(spark, sf_dir):
+    w = _working(_segments(spark, sf_dir))
+    label = _label(w.face)
+    return C.region_table(w.face, label, label.select("mesh_id", "region").distinct()).select("mesh_id", "region", "faces", r6("area"), r6("elongation"))
+
+
+@query(f"""{_LAB}, {_EIG}, seam AS (SELECT s.mesh_id, sum(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))) AS seam FROM (SELECT s.mesh_id, lo, hi FROM side s JOIN lab l ON l.mesh_id = s.mesh_id AND l.fid = s.fid GROUP BY s.mesh_id, lo, hi HAVING count(DISTINCT region) > 1) s
+      JOIN vert p ON p.mesh_id = s.mesh_id AND p.vid = lo JOIN vert q ON q.mesh_id = s.mesh_id AND q.vid = hi GROUP BY s.mesh_id),
+    diag AS (SELECT mesh_id, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) AS diag FROM vert GROUP BY mesh_id),
+    abar AS (SELECT mesh_id, sum(area) / 6 AS abar FROM geom GROUP BY mesh_id),
+    dev AS (SELECT r.mesh_id, max(abs(area - abar) / abar) AS deviation, avg(least(elongation, 20)) AS rho FROM regions r JOIN abar b ON b.mesh_id = r.mesh_id GROUP BY r.mesh_id)
+    SELECT d.mesh_id, {s6('deviation', 'deviation')}, {s6('seam', 'seam')}, {s6('deviation + seam / diag + (rho - 1) / 19', 'score')} FROM dev d JOIN seam s ON s.mesh_id = d.mesh_id JOIN diag g ON g.mesh_id = d.mesh_id""")
+def label_scores(spark, sf_dir):
+    w = _working(_segments(spark, sf_dir))
+    label = _label(w.face)
+    return C.scores(w, label, label.select("mesh_id", "region").distinct(), _abar(w.face, 6)).select("mesh_id", r6("deviation"), r6("seam"), r6("score"))
+
+
+_PIECE = f"""{_LAB}, used AS (SELECT DISTINCT l.mesh_id, region AS piece, vid, x, y, z FROM lab l JOIN vert v ON v.mesh_id = l.mesh_id AND v.vid IN (l.a, l.b, l.c)),
+    boxes AS (SELECT mesh_id, piece, count(*) AS vertices, min(x) AS lox, min(y) AS loy, min(z) AS loz, max(x) AS hix, max(y) AS hiy, max(z) AS hiz FROM used GROUP BY mesh_id, piece)"""
+
+
+def _pieces(spark, sf_dir):
+    w = _working(_segments(spark, sf_dir))
+    return w, C.extract(w, _label(w.face))
+
+
+@query(f"{_PIECE} SELECT b.mesh_id, b.piece, faces, vertices, {s6('area', 'area')}, {s6('lox', 'lox')}, {s6('hiz', 'hiz')}, {s6('(lox + hix) / 2', 'bx')}, {s6('sx / area', 'ax')} FROM boxes b JOIN (SELECT mesh_id, region, count(*) AS faces, sum(area) AS area, sum(cx * area) AS sx FROM lab GROUP BY mesh_id, region) l ON l.mesh_id = b.mesh_id AND l.region = b.piece")
+def piece_stats(spark, sf_dir):
+    return C.piece_table(_pieces(spark, sf_dir)[1]).select("mesh_id", "piece", "faces", "vertices", *[r6(c) for c in ("area", "lox", "hiz", "bx", "ax")])
+
+
+@query(f"""{_PIECE} SELECT p.mesh_id, p.piece AS piece_a, q.piece AS piece_b, {s6('(p.lox + p.hix) / 2 - (q.lox + q.hix) / 2', 'ox')} FROM boxes p JOIN boxes q ON q.mesh_id = p.mesh_id AND q.piece <> p.piece
+    AND p.lox - 0.01 <= q.hix AND q.lox <= p.hix + 0.01 AND p.loy - 0.01 <= q.hiy AND q.loy <= p.hiy + 0.01 AND p.loz - 0.01 <= q.hiz AND q.loz <= p.hiz + 0.01""")
+def piece_adjacency(spark, sf_dir):
+    return C.piece_adjacency(C.piece_table(_pieces(spark, sf_dir)[1])).select("mesh_id", "piece_a", "piece_b", r6("ox"))
+
+
+@query(f"{_PIECE} SELECT l.mesh_id, l.fid, l.region AS piece, a.k AS va, b.k AS vb, c.k AS vc FROM lab l " + " ".join(f"JOIN (SELECT mesh_id, piece, vid, row_number() OVER (PARTITION BY mesh_id, piece ORDER BY vid) - 1 AS k FROM used) {n} ON {n}.mesh_id = l.mesh_id AND {n}.piece = l.region AND {n}.vid = l.{n}" for n in "abc"))
+def extracted_faces(spark, sf_dir):
+    return _pieces(spark, sf_dir)[1].face.select("mesh_id", "fid", "piece", *[F.col("v")[k].alias(f"v{n}") for k, n in enumerate("abc")])
+
+
+@query(f"{_PIECE} SELECT mesh_id, sum(n) AS vertices, max(piece) AS last_piece FROM (SELECT mesh_id, piece, CAST(count(*) AS BIGINT) AS n FROM used GROUP BY mesh_id, piece) q GROUP BY mesh_id".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
+def merged_pieces(spark, sf_dir):
+    face, vertex = C.merge_faces(_pieces(spark, sf_dir)[1])
+    return vertex.groupBy("mesh_id").agg((F.max("vid") + 1).alias("vertices")).join(face.groupBy("mesh_id").agg(F.max("piece").alias("last_piece")), "mesh_id")
+
+
+@query()
+def checkpoint_manifest(spark, sf_dir):
+    w, pieces = _pieces(spark, sf_dir)
+    return C.checkpoint_json(w.vertex, pieces)
+
+
+@query(f"{_LAB} SELECT mesh_id, region AS piece, count(*) OVER (PARTITION BY mesh_id) AS n, {s6('(region % 3 + 0.5) * 34 / 128', 'u')}, {s6('1 - (CAST(floor(region / 3) AS BIGINT) + 0.5) * 34 / 128', 'v')} FROM (SELECT DISTINCT mesh_id, region FROM lab) q")
+def colour_atlas(spark, sf_dir):
+    """At six pieces a mesh: three columns, 128 pixels."""
+    label = _label(_segments(spark, sf_dir).face)
+    return C.atlas(label.select("mesh_id", F.col("region").alias("piece")).distinct()).select("mesh_id", "piece", "n", r6("u"), r6("v"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    return lines.select("mesh_id", F.row_number().over(Window.partitionBy("mesh_id").orderBy("part", "id")).alias("line"), F.col("line").alias("value"))
+
+
+@query(D.with_mesh(SEGMENTS) + f" SELECT mesh_id, fid, a AS va, b AS vb, c AS vc, {s6('z0', 'z0')}, {s6('z2', 'z2')} FROM corner")
+def obj_round_trip(spark, sf_dir):
+    """Written as OBJ lines and read again."""
+    back = obj.parse(_numbered(sinks.obj_lines(_segments(spark, sf_dir))))
+    rows = I.with_corners(back.face, back.vertex)
+    return rows.select("mesh_id", "fid", *[F.col("v")[k].alias(f"v{n}") for k, n in enumerate("abc")], r6(F.col("p")[0]["z"], "z0"), r6(F.col("p")[2]["z"], "z2"))
+
+
+_POINTS = "SELECT CAST(label AS BIGINT) AS mesh_id, vec_id, CAST(embedding[{0}] AS DOUBLE) AS x, CAST(embedding[{1}] AS DOUBLE) AS y, CAST(embedding[{2}] AS DOUBLE) AS z FROM embeddings WHERE label IS NOT NULL"
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
+    return rows.select(F.col("label").cast("long").alias("mesh_id"), "vec_id", *[F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")])
+
+
+@query(f"WITH p AS ({_POINTS.format(1, 2, 3)}) SELECT a.mesh_id, a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON b.mesh_id = a.mesh_id AND a.vec_id < b.vec_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.03")
+def range_join(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    right = p.select("mesh_id", F.col("vec_id").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
+    near = F.lit(0.03)
+    return S.distance_join(p.withColumnRenamed("vec_id", "a"), right, near, near).where("a < b").select("mesh_id", "a", "b")
+
+
+@query(f"WITH p AS ({_POINTS.format(1, 2, 3)}), d AS (SELECT a.mesh_id, a.vec_id, b.vec_id AS near, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS far FROM p a JOIN p b ON b.mesh_id = a.mesh_id AND b.vec_id % 10 = 0) SELECT mesh_id, vec_id, near, {s6('far', 'distance')} FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id, vec_id ORDER BY far, near) AS k FROM d) q WHERE k = 1")
+def nearest_vertex(spark, sf_dir):
+    """For each point the nearest one of a reduced set."""
+    p = _points(spark, sf_dir)
+    right = p.where("vec_id % 10 = 0").select("mesh_id", F.col("vec_id").alias("near"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
+    return S.nearest(p, right, "vec_id", "near").select("mesh_id", "vec_id", "near", r6("distance"))
+
+
+@query(f"WITH p AS ({_POINTS.format(1, 2, 3)}) SELECT mesh_id, {s6('quantile_cont(x, 0.99)', 'p99')}, count(*) AS n FROM p GROUP BY mesh_id")
+def percentiles(spark, sf_dir):
+    return _points(spark, sf_dir).groupBy("mesh_id").agg(r6(F.percentile("x", 0.99), "p99"), F.count("*").alias("n"))

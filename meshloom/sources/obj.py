@@ -34,7 +34,7 @@ def parse(lines: DataFrame) -> Mesh:
 
     def index(corner: Column, part: int, count: str) -> Column:
         text = F.get(F.split(corner, "/"), F.lit(part))
-        i = F.when(text != "", text.cast("long"))
+        i = F.when((F.col("tag") == "f") & (text != ""), text.cast("long"))
         return F.when(i < 0, F.col(count) + i).otherwise(i - 1)
 
     faces = rows.where("tag = 'f'").withColumn("corners", F.slice("w", 2, 1 << 20))
