@@ -124,8 +124,8 @@ def _pack(tokenizer: str, end_id: int, tiers: tuple[int, ...]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, packer = encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), []
+            for at in range(0, whole.num_rows, 1024):
+                batch, out = whole.slice(at, 1024), []
                 for doc, ids in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
                     out += packer.add(doc, ids + end)
                 if out:

@@ -17,6 +17,8 @@ _UNSURE = re.compile(r"\s ")
 _PART = re.compile(r"\s*\S+|\s+$")
 #: Parts in each of the two generations of the cache: about 100 MB. When the young one is full it becomes the old one.
 GENERATION = 500_000
+#: Marks that end a word.
+MARKS = (".", ",")
 #: A special token of both vocabularies.
 SEPARATOR = "<|endoftext|>"
 #: Longer parts aren't kept.
@@ -30,6 +32,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _is_latin(text: str) -> bool:
+    """Only characters below U+0100, whose small letters are the same to every library."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text."""
 
@@ -41,6 +52,9 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.joined = Tokenizer.from_file(vocabulary(name))
         self.separator = self.joined.token_to_id(SEPARATOR)
+        # a vocabulary of small letters: folding first makes more parts alike
+        self.folds = self.model.normalizer is not None and self.model.normalizer.normalize_str("AÉ") == "aé"
+        self.marks = dict(zip(MARKS, self.batch(list(MARKS)), strict=True))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -75,19 +89,32 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
+        if self.folds:
+            texts = [x.lower() if _is_latin(x) else x for x in texts]
         cut = [self.parts(x) for x in texts]
-        young, old, new = self.young, self.old, []
+        young, old, new, ended = self.young, self.old, {}, []
         for p in set().union(*cut):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    new.append(p)
-        long = []
-        for k in range(0, len(new), 5_000):
-            some = new[k : k + 5_000]
+            if p in young:
+                continue
+            if p in old:
+                young[p] = old[p]
+            elif p[-1:] in self.marks and p[-2:-1] < "\u0250" and p[-2:-1].isalpha():
+                # a mark behind a letter is a part of its own to the pre-tokenizers; the word without it is often known
+                word = p[:-1]
+                ended.append(p)
+                if word in old:
+                    young.setdefault(word, old[word])
+                elif word not in young:
+                    new[word] = None
+            else:
+                new[p] = None
+        keys = list(new)
+        for k in range(0, len(keys), 5_000):
+            some = keys[k : k + 5_000]
             young.update(zip(some, self.batch([p[1:] if p[:1] == "\0" else " " + p for p in some]), strict=True))
-            long += [p for p in some if len(p) > KEPT_CHARS]
+        for p in ended:
+            young[p] = young[p[:-1]] + self.marks[p[-1]]
+        long = [p for p in (*keys, *ended) if len(p) > KEPT_CHARS]
         out = [b"".join(map(young.__getitem__, parts)) for parts in cut]
         for p in long:
             del young[p]
