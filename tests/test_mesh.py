@@ -228,6 +228,16 @@ def test_pipeline_outputs(spark, tmp_path):
     names = [n["name"] for n in json.loads(data[20 : 20 + struct.unpack("<I", data[12:16])[0]])["nodes"]]
     assert magic == b"glTF" and version == 2 and size == len(data) and names[:2] == ["piece_0_front", "piece_0_back"] and len(names) == 8
     assert json.loads(sinks.merge_saved(json.dumps(payload), name="x"))["name"] == "x"
+    relaxed = found["relaxed"]
+    replay = sinks.replay_json(found["working"].vertex, found["working"].face, relaxed["iteration"], relaxed["iteration_label"]).first()
+    iterations = json.loads(replay.iterations)
+    assert len(json.loads(replay.mesh)["faces"]) == 24 and len(iterations["labels"]) == len(iterations["score"]) and 0 <= iterations["best"] < len(iterations["score"])
+    result = json.loads(sinks.result_json(found["working"].face, found["label"], found["regions"], found["abar"], progress.timings).first().json)
+    assert result["status"] == "done" and result["faces"] == 24 and len(result["pieces"]) == 4 and "relax" in result["timings"]
+    sinks.write_puzzle_output(spark, found["working"].vertex, found["pieces"], f"{tmp_path}/out")
+    assert json.loads((tmp_path / "out/0/checkpoint.json").read_text()) == payload and (tmp_path / "out/0/pieces.glb").read_bytes() == data
+    sinks.write_preview_obj(found["working"].vertex, found["working"].face, found["label"], f"{tmp_path}/preview")
+    assert spark.read.text(f"{tmp_path}/preview/obj").where("value like 'usemtl %'").count() == 4
     sinks.write_obj(Mesh(found["working"].vertex, found["working"].face), f"{tmp_path}/obj")
     back = spark.read.text(f"{tmp_path}/obj").where("value like 'f %'").count()
     assert back == 24
