@@ -168,7 +168,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))),
     )
     columns = docs.columns
-    joined = docs.withColumn("__row", key).join(of_row.withColumnRenamed("row_id", "__row"), "__row", "left")
+    # the spans grow with the documents, so they are never broadcast, however few they may be here
+    joined = docs.withColumn("__row", key).join(of_row.withColumnRenamed("row_id", "__row").hint("merge"), "__row", "left")
     return joined.withColumn(text_col, F.when(F.col("all").isNull(), text).otherwise(state)).select(*columns)
 
 

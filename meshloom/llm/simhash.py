@@ -127,7 +127,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = near_duplicates(docs, id_col, text_col)
     stays = stash(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stays")).agg(F.count("*").alias("__n")), "stays")
     own = F.col(id_col).cast("long")
-    kept = docs.join(stays, own == F.col("__stays"), "left_semi")
+    # what stays grows with the documents, so it is never broadcast, however small it may be here
+    kept = docs.join(stays.hint("merge"), own == F.col("__stays"), "left_semi")
     if stays.where("__n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
