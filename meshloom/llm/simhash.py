@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(fps: DataFrame) -> DataFrame:
     """fps (fp), distinct -> (a, b): edges that connect whatever fingerprints of at most two differing bits connect."""
     low = F.lit(0xFFFFFFFF)
-    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    # 64 rows come of each, so they are dealt out before
+    spread = fps.repartition("fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     variants = spread.select(
         "fp",
         F.expr("shiftrightunsigned(fp, i & 32)").bitwiseAND(low).bitwiseAND(F.expr("~shiftleft(1L, i & 31)")).bitwiseOR(F.expr("shiftleft(cast(i as long), 32)")).alias("variant"),
