@@ -49,13 +49,13 @@ def faces_of(vertices: str) -> str:
 def with_mesh(vertices: str) -> str:
     """WITH clause of vert, face and geom (faces with corners, area, centroid and unit normal)."""
     d = lambda k: f"SELECT mesh_id, vid, x AS x{k}, y AS y{k}, z AS z{k} FROM vert"
-    return f"""WITH vert AS ({vertices}), face AS ({faces_of('vert')}),
+    return f"""WITH vert AS MATERIALIZED ({vertices}), face AS MATERIALIZED ({faces_of('vert')}),
     corner AS (SELECT f.*, p.x0, p.y0, p.z0, q.x1, q.y1, q.z1, r.x2, r.y2, r.z2 FROM face f
       JOIN ({d(0)}) p ON p.mesh_id = f.mesh_id AND p.vid = f.a JOIN ({d(1)}) q ON q.mesh_id = f.mesh_id AND q.vid = f.b JOIN ({d(2)}) r ON r.mesh_id = f.mesh_id AND r.vid = f.c),
     crossed AS (SELECT *, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS kx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ky, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS kz FROM corner),
-    geom AS (SELECT *, sqrt(kx * kx + ky * ky + kz * kz) * CAST(0.5 AS DOUBLE) AS area, (x0 + x1 + x2) / CAST(3 AS DOUBLE) AS cx, (y0 + y1 + y2) / CAST(3 AS DOUBLE) AS cy, (z0 + z1 + z2) / CAST(3 AS DOUBLE) AS cz,
+    geom AS MATERIALIZED (SELECT *, sqrt(kx * kx + ky * ky + kz * kz) * CAST(0.5 AS DOUBLE) AS area, (x0 + x1 + x2) / CAST(3 AS DOUBLE) AS cx, (y0 + y1 + y2) / CAST(3 AS DOUBLE) AS cy, (z0 + z1 + z2) / CAST(3 AS DOUBLE) AS cz,
       kx / sqrt(kx * kx + ky * ky + kz * kz) AS nx, ky / sqrt(kx * kx + ky * ky + kz * kz) AS ny, kz / sqrt(kx * kx + ky * ky + kz * kz) AS nz FROM crossed),
-    side AS (SELECT mesh_id, fid, patch, least(a, b) AS lo, greatest(a, b) AS hi FROM face UNION ALL SELECT mesh_id, fid, patch, least(b, c), greatest(b, c) FROM face UNION ALL SELECT mesh_id, fid, patch, least(c, a), greatest(c, a) FROM face)"""
+    side AS MATERIALIZED (SELECT mesh_id, fid, patch, least(a, b) AS lo, greatest(a, b) AS hi FROM face UNION ALL SELECT mesh_id, fid, patch, least(b, c), greatest(b, c) FROM face UNION ALL SELECT mesh_id, fid, patch, least(c, a), greatest(c, a) FROM face)"""
 
 
 def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -15,6 +15,7 @@ from ..operators import partition as P
 from ..operators import pieces as C
 from ..operators import spatial as S
 from ..operators import triage as T
+from ..operators.tables import settle
 from ..schema import Mesh
 from ..sources import obj, sinks
 from . import driver_mesh as D
@@ -57,7 +58,8 @@ def _segments(spark, sf_dir) -> Mesh:
 
 def _working(mesh: Mesh) -> I.Working:
     """A mesh whose vertices are distinct, without welding."""
-    return I.Working(mesh.vertex, I.with_geometry(mesh.face, mesh.vertex), None, None)
+    vertex = settle(mesh.vertex)
+    return I.Working(vertex, settle(I.with_geometry(mesh.face, vertex)), None, None)
 
 
 def _label(face: DataFrame) -> DataFrame:
