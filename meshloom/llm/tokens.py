@@ -19,8 +19,9 @@ _PART = re.compile(r"\s*\S+|\s+$")
 GENERATION = 500_000
 #: Marks that end a word.
 MARKS = (".", ",")
-#: A special token of both vocabularies.
-SEPARATOR = "<|endoftext|>"
+#: A token of its own in both vocabularies.
+SIGN = " |"
+_PLAIN = re.compile(r" [^\s|]+")
 #: Longer parts aren't kept.
 KEPT_CHARS = 200
 
@@ -50,8 +51,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(vocabulary(name))
         self.model.encode_special_tokens = True
-        self.joined = Tokenizer.from_file(vocabulary(name))
-        self.separator = self.joined.token_to_id(SEPARATOR)
+        (self.sign,) = self.model.encode(SIGN, add_special_tokens=False).ids
         # a vocabulary of small letters: folding first makes more parts alike
         self.folds = self.model.normalizer is not None and self.model.normalizer.normalize_str("AÉ") == "aé"
         self.marks = dict(zip(MARKS, self.batch(list(MARKS)), strict=True))
@@ -59,19 +59,20 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def batch(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part. Parts without a special token's string are joined by one, which the library splits texts at
-        before all else, and encoded in one call."""
+        """The ids of each part. Plain parts, a space and no other, are joined by a sign that none of them has, encoded in one
+        call, and cut at the sign's id: behind white space, before a space, it is a token of its own."""
         found: list[bytes] = [b""] * len(parts)
-        plain = [k for k, p in enumerate(parts) if "<|" not in p]
+        plain = [k for k, p in enumerate(parts) if _PLAIN.fullmatch(p)]
         if plain:
-            ids = np.array(self.joined.encode_batch_fast([SEPARATOR.join([parts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.concatenate(([-1], np.nonzero(ids == self.separator)[0], [len(ids)]))
+            ids = np.array(self.model.encode_batch_fast([SIGN.join([parts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.concatenate(([-1], np.nonzero(ids == self.sign)[0], [len(ids)]))
             raw = ids.tobytes()
             for k, a, b in zip(plain, (4 * (cuts[:-1] + 1)).tolist(), (4 * cuts[1:]).tolist(), strict=True):
                 found[k] = raw[a:b]
-        for k, p in enumerate(parts):
-            if "<|" in p:
-                found[k] = np.array(self.model.encode_batch_fast([p], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        rest = [k for k, p in enumerate(parts) if not _PLAIN.fullmatch(p)] if len(plain) < len(parts) else []
+        if rest:
+            for k, got in zip(rest, self.model.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
+                found[k] = np.array(got.ids, dtype="<u4").tobytes()
         return found
 
     def parts(self, text: str) -> list[str]:
