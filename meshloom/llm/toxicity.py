@@ -4,15 +4,17 @@ Words, without letter case and punctuation, are hashed into embedding rows: one
 six bytes, so that an unseen form of a seen stem is known; the three are added. Filters over one, two and three words
 slide over the whole text; the maximum of each filter is a feature of a logistic layer. Training is by AdaGrad; the
 gradient of a maximum concerns one window, so a text costs one pass. The first embedding column starts at the shrunk
-log-odds of the word, which lets rare words be learned from few examples. On rows kept out of the fit, the score is
-calibrated (Platt) and, by language, a threshold is chosen. Language is no input of the score; its thresholds are a column
-beside it.
+log-odds of the word, which lets rare words be learned from few examples. Only the weights come from a bounded sample: on
+all other labelled rows that may be learned from, counted by bins of their logits, the score is calibrated (Platt) and, by
+language, a threshold is chosen. Language is no input of the score; its thresholds are a column beside it.
 
 For scoring, filters are multiplied into the embedding table once, so that a window is a sum of parts of table rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import WHITE_SPACE_AND_PUNCTUATION, hashed_words, read_table
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, STEMS = 1 << 15, 12, 8, (1, 2, 3), (4, 6)
-#: Labelled rows that a fit uses at most, of each class.
+#: Labelled rows that the weights are fitted on at most, of each class.
 SAMPLE = {1: 3000, 0: 5000}
+#: Bins of a logit, for each unit of it, and the limit of what is told apart.
+BINS, FAR = 128, 30
 EPOCHS = 4
 THRESHOLD = 0.3
 
@@ -81,14 +85,14 @@ class Model:
         return float(_sigmoid(self.scale[0] * self.logit(ids) + self.scale[1]))
 
 
-def _platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by damped Newton steps, with a weak pull to the identity."""
+def _platt(logits: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset by damped Newton steps, with a weak pull to the identity; n: how many rows each one stands for."""
     w = np.array([1.0, 0.0])
     x = np.stack([logits, np.ones(len(logits))], axis=1)
     for _ in range(50):
         p = _sigmoid(x @ w)
-        g = x.T @ (p - y) + (w - [1, 0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
+        g = x.T @ (n * (p - y)) + (w - [1, 0])
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(2)
         step = np.linalg.solve(h, g)
         w = w - step / max(1, np.abs(step).max())
         if np.abs(step).max() < 1e-6:
@@ -96,10 +100,8 @@ def _platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(rows: list[tuple[np.ndarray, int, bool, str | None]], epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """rows: (word ids, label, in the calibration part, language). Without both labels the model is constant."""
-    train = [(x, y) for x, y, hold, _ in rows if not hold]
-    held = [(x, y, lang) for x, y, hold, lang in rows if hold]
+def fit(train: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 0) -> Model:
+    """train: (word ids, label). Without both labels the model is constant. Its score isn't calibrated yet."""
     positive, negative = sum(y for _, y in train), sum(1 - y for _, y in train)
     if not positive or not negative:
         return Model(constant=-30.0 if not positive else 30.0)
@@ -163,24 +165,36 @@ def fit(rows: list[tuple[np.ndarray, int, bool, str | None]], epochs: int = EPOC
             sq["emb"][uniq] += g * g
             emb[uniq] -= rate * g / np.sqrt(sq["emb"][uniq])
             emb[0] = 0
-    model = Model(np.concatenate([emb @ filters[k][o] for k in WIDTHS for o in range(k)], axis=1).astype(np.float32), bias, weights, constant)
-    if held:
-        logits, y = np.array([model.logit(x) for x, _, _ in held]), np.array([y for _, y, _ in held])
-        model.scale = _platt(logits, y)
-        scores = _sigmoid(model.scale[0] * logits + model.scale[1])
-        for lang in {x[2] for x in held if x[2] is not None}:
-            own = np.array([x[2] == lang for x in held])
-            model.thresholds[lang] = _threshold(scores[own], y[own])
-    return model
-
-
-def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
+    return Model(np.concatenate([emb @ filters[k][o] for k in WIDTHS for o in range(k)], axis=1).astype(np.float32), bias, weights, constant)
+
+
+def calibrate(model: Model, cells: list[tuple[int, str | None, int, int]], fitted: dict[int, int]) -> None:
+    """Set the scale and the thresholds from cells (label, language, bin, rows) of the rows outside the fit.
+
+    fitted: the rows of each label in the fit. The sample takes different shares of the labels, so the rows left are weighed
+    to the share that each label has among all."""
+    if model.table is None or not cells:
+        return
+    y, n = np.array([c[0] for c in cells]), np.array([c[3] for c in cells], float)
+    logits = (np.array([c[2] for c in cells]) + 0.5) / BINS
+    left = {k: n[y == k].sum() for k in (0, 1)}
+    everything = sum(left.values()) + sum(fitted.values())
+    weight = {k: (left[k] + fitted.get(k, 0)) / everything * n.sum() / left[k] if left[k] else 1.0 for k in left}
+    weighed = n * np.where(y == 1, weight[1], weight[0])
+    model.scale = _platt(logits, y, weighed)
+    scores = _sigmoid(model.scale[0] * logits + model.scale[1])
+    for lang in sorted({c[1] for c in cells if c[1] is not None}):
+        own = np.array([c[1] == lang for c in cells])
+        model.thresholds[lang] = _threshold(scores[own], y[own], n[own], weighed[own])
+
+
+def _threshold(scores: np.ndarray, y: np.ndarray, n: np.ndarray, weighed: np.ndarray) -> float:
     """Of the best F1, in the middle of the gap below it, not far from the general one; that one with few positives."""
-    if y.sum() < 20:
+    if n[y == 1].sum() < 20:
         return THRESHOLD
-    order = np.argsort(-scores)
-    s, hit = scores[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
+    s, back = np.unique(-scores, return_inverse=True)
+    s, hit, taken = -s, np.cumsum(np.bincount(back, weighed * y)), np.cumsum(np.bincount(back, weighed))
+    f1 = 2 * hit / (taken + hit[-1])
     k = int(f1.argmax())
     return float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2, 0.15, 0.5))
 
@@ -191,21 +205,37 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
-    """Fit on a bounded sample of the labelled rows that may be learned from, the same at every run.
+    """Fit the weights on a bounded sample of the labelled rows that may be learned from, the same at every run; calibrate on all
+    others of them.
 
-    Of each class the rows least by a hash of doc_id are taken. A fifth of them calibrates. Null labels, labels other than
-    0 and 1 and labels without a document are ignored; a doc_id with several rows counts for each."""
+    A fifth of the rows is kept out of the sample, however few there are. Of the others, those of each class least by a hash of
+    doc_id are taken. Null labels, labels other than 0 and 1 and labels without a document are ignored; a doc_id with several
+    rows counts for each."""
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(may_learn(F.col("doc_id")))
     chosen = None
     for label, most in sample.items():
-        some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = usable.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(5)) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     # at most sum(sample.values()) rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(chosen), "doc_id")
-    rows = texts.withColumn("hold", F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(5)) == 0).select("doc_id", "toxic", "hold", "lang", word_ids(F.col("text")).alias("ids")).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", word_ids(F.col("text")).alias("ids")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.ids)))
-    return fit([(np.frombuffer(r.ids, "<i4").reshape(-1, 1 + len(STEMS)), r.toxic, r.hold, r.lang) for r in rows])
+    model = fit([(np.frombuffer(r.ids, "<i4").reshape(-1, 1 + len(STEMS)), r.toxic) for r in rows])
+    if model.table is not None:
+        fitted = spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in rows})], "doc_id long")
+        calibrate(model, outside(texts.join(F.broadcast(fitted), "doc_id", "left_anti"), usable, model), Counter(r.toxic for r in rows))
+    return model
+
+
+def outside(texts: DataFrame, usable: DataFrame, model: Model) -> list[tuple[int, str | None, int, int]]:
+    """Counts (toxic, lang, bin of the logit, rows) of the labelled texts; as many as there are bins, however many texts.
+
+    Texts are scored before the join, so that it moves three numbers a row. Both sides grow with the documents, so neither is
+    ever broadcast."""
+    logit = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), logits(texts.sparkSession, model, F.col("text"))))
+    binned = texts.select("doc_id", "lang", F.floor(logit * BINS).cast("long").alias("bin"))
+    return [tuple(r) for r in binned.join(usable.hint("merge"), "doc_id").groupBy("toxic", "lang", "bin").count().orderBy("toxic", "lang", "bin").collect()]
 
 
 def word_ids(text: Column) -> Column:
@@ -218,13 +248,22 @@ def word_ids(text: Column) -> Column:
 
 def scored(spark: SparkSession, model: Model, text: Column) -> Column:
     """Column of scores; a null text is scored as an empty one."""
+    return _each(spark, model, Model.score, text)
+
+
+def logits(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Column of what scores are before they are calibrated."""
+    return _each(spark, model, Model.logit, text)
+
+
+def _each(spark: SparkSession, model: Model, what: Callable[[Model, np.ndarray], float], text: Column) -> Column:
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([held.value.score(x) for k in range(0, len(texts), 256) for x in rows_of(texts.slice(k, 256).to_pylist())], pa.float64())
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([what(held.value, x) for k in range(0, len(texts), 256) for x in rows_of(texts.slice(k, 256).to_pylist())], pa.float64())
 
-    return score(text)
+    return each(text)
 
 
 def threshold_of(model: Model, lang: Column) -> Column:

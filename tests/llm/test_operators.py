@@ -391,3 +391,35 @@ def test_toxicity(spark, docs, none):
     assert np.array_equal(model.table, other.table)
     assert toxicity.toxicity(none, model).collect() == [] and toxicity.train(none, marks).score(toxicity.rows_of(["x"])[0]) < 0.01
     assert toxicity.without_toxic(table, model).columns == table.columns
+
+
+def test_toxicity_is_calibrated_outside_the_sample(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for k in range(2400):
+        toxic = rng.random() < 0.1
+        w = [f"calm{rng.randrange(200)}" for _ in range(12)]
+        if rng.random() < (0.7 if toxic else 0.1):
+            w.insert(rng.randrange(len(w)), "vile")
+        rows.append((k, " ".join(w), "en" if k % 2 else "de"))
+        labels.append((k, int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, toxic int"), {1: 60, 0: 60})
+    scores = [r.score for r in toxicity.toxicity(table, model).collect()]
+    # the sample is half toxic, the table a tenth; a fifth of the sample has too few toxic rows for thresholds
+    assert abs(sum(scores) / len(scores) - sum(y for _, y in labels) / len(labels)) < 0.03
+    assert set(model.thresholds) == {"en", "de"} and all(t != toxicity.THRESHOLD for t in model.thresholds.values())
+
+
+def test_toxicity_calibration_counts_every_row_outside_the_fit(spark, monkeypatch):
+    rows = [(k, "vile word" if k % 8 == 0 else "calm word", "en") for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(400)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, cells, fitted: seen.update(cells=cells, fitted=fitted))
+    toxicity.train(table, labels, {1: 5, 0: 20})
+    usable = Counter(int(k % 8 == 0) for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2)
+    left = Counter()
+    for toxic, _, _, n in seen["cells"]:
+        left[toxic] += n
+    assert seen["fitted"] == {1: 5, 0: 20} and left + Counter(seen["fitted"]) == usable
