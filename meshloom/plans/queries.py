@@ -355,6 +355,14 @@ def nearest_vertex(spark, sf_dir):
     return S.nearest(p, right, "vec_id", "near").select("mesh_id", "vec_id", "near", r6("distance"))
 
 
+@query(f"WITH p AS ({_POINTS.format(1, 2, 3)}), d AS (SELECT a.mesh_id, a.vec_id, b.vec_id AS near, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS far FROM p a JOIN p b ON b.mesh_id = a.mesh_id AND b.vec_id <> a.vec_id) SELECT mesh_id, vec_id, near, {s6('far', 'distance')} FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id, vec_id ORDER BY far, near) AS k FROM d) q WHERE k = 1")
+def nearest_other_vertex(spark, sf_dir):
+    """For each point the nearest one of all others with its label."""
+    p = _points(spark, sf_dir)
+    right = p.select("mesh_id", F.col("vec_id").alias("near"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
+    return S.nearest(p, right, "vec_id", "near", others=True).select("mesh_id", "vec_id", "near", r6("distance"))
+
+
 @query(f"WITH p AS ({_POINTS.format(1, 2, 3)}) SELECT mesh_id, {s6('quantile_cont(x, 0.99)', 'p99')}, count(*) AS n FROM p GROUP BY mesh_id")
 def percentiles(spark, sf_dir):
     return _points(spark, sf_dir).groupBy("mesh_id").agg(r6(F.percentile("x", 0.99), "p99"), F.count("*").alias("n"))

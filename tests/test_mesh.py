@@ -15,6 +15,7 @@ from meshloom.operators import ingest as I
 from meshloom.operators import kernels as K
 from meshloom.operators import partition as P
 from meshloom.operators import pieces as C
+from meshloom.operators import spatial as S
 from meshloom.operators import triage as T
 from meshloom.operators.graph import shortest_paths
 from meshloom.plans import pipeline
@@ -259,3 +260,31 @@ def test_parameters():
         with pytest.raises(ValueError):
             pipeline.validate(*bad)
     pipeline.validate("a.OBJ", 2, 50)
+
+
+def test_nearest_of_all_others_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = [(1, *p) for p in rng.normal(0, 1, (150, 3))] + [(1, 1e6, 0.0, 0.0), (1, -1e9, 1.0, 0.0)] + [(1, 0.5, 0.5, 0.5)] * 4
+    points += [(2, 3.0, 3.0, 3.0)] * 5 + [(3, 0.0, 0.0, 0.0)] + [(4, float(x), 0.0, 0.0) for x in range(6)]
+    rows = [(m, k, float(x), float(y), float(z)) for k, (m, x, y, z) in enumerate(points)]
+    left = spark.createDataFrame(rows, "mesh_id long, a long, x double, y double, z double")
+    right = left.select("mesh_id", F.col("a").alias("b"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
+    for others in (True, False):
+        got = {r.a: (r.b, r.distance) for r in S.nearest(left, right, "a", "b", others=others).collect()}
+        want = {}
+        for m, a, *p in rows:
+            near = [(math.sqrt(sum((u - v) ** 2 for u, v in zip(p, q, strict=True))), b) for n, b, *q in rows if n == m and (b != a or not others)]
+            if near:
+                want[a] = (min(near)[1], pytest.approx(min(near)[0]))
+        assert got == want
+
+
+def test_nearest_compares_no_more_than_the_cells_around(spark, monkeypatch):
+    pairs = []
+    join = S.distance_join
+    monkeypatch.setattr(S, "distance_join", lambda *a: pairs.append(join(*a).count()) or join(*a))
+    n = 4000
+    left = spark.range(2 * n).select(F.lit(1).cast("long").alias("mesh_id"), F.col("id").alias("a"), *[F.when(F.col("id") < n, F.rand(k)).otherwise(0.5).alias(c) for k, c in enumerate("xyz")]).localCheckpoint()
+    right = left.select("mesh_id", F.col("a").alias("b"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
+    # half of the rows are copies of one
+    assert S.nearest(left, right, "a", "b", others=True).count() == 2 * n and 0 < sum(pairs) < 60 * n

@@ -24,3 +24,9 @@ def test_query_equals_sql(spark, name):
     got = sorted(([r[c] for c in columns] for r in df.collect()), key=repr)
     rows = sorted(([dict(zip(want.columns, r, strict=True))[c] for c in columns] for r in want.fetchall()), key=repr)
     assert got == [[pytest.approx(x, abs=2e-6) if isinstance(x, float) else x for x in r] for r in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
+@pytest.mark.parametrize("name", ["nearest_vertex", "nearest_other_vertex"])
+def test_nearest_equals_sql(spark, name):
+    test_query_equals_sql(spark, name)
