@@ -219,12 +219,12 @@ def capacity_growth(spark, sf_dir):
 
 @query()
 def relaxed_labels(spark, sf_dir):
-    return P.relax(*_grown(spark, sf_dir), i_max=4)["label"]
+    return P.relax(*_grown(spark, sf_dir))["label"]
 
 
 @query()
 def relaxed_iterations(spark, sf_dir):
-    return P.relax(*_grown(spark, sf_dir), i_max=4)["iteration"].select("mesh_id", "it", r6("deviation"), r6("seam"), r6("score"), "best", "converged")
+    return P.relax(*_grown(spark, sf_dir))["iteration"].select("mesh_id", "it", r6("deviation"), r6("seam"), r6("score"), "best", "converged")
 
 
 @query()

@@ -30,3 +30,21 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", ["nearest_vertex", "nearest_other_vertex"])
 def test_nearest_equals_sql(spark, name):
     test_query_equals_sql(spark, name)
+
+
+@pytest.mark.parametrize("name", ["relaxed_labels", "relaxed_iterations"])
+def test_relaxation_runs_with_the_default_limit(monkeypatch, name):
+    limits = []
+
+    class Stop(Exception):
+        pass
+
+    def relax(*args, i_max=Q.P.k.I_MAX, **more):
+        limits.append(i_max)
+        raise Stop
+
+    monkeypatch.setattr(Q, "_grown", lambda spark, sf_dir: ())
+    monkeypatch.setattr(Q.P, "relax", relax)
+    with pytest.raises(Stop):
+        Q.QUERIES[name](None, TABLES)
+    assert limits == [15]
