@@ -57,6 +57,9 @@ def _split(docs: DataFrame, kind: str, pattern: str) -> DataFrame:
     tail = F.expr("right(before, 80)")
     return (
         each.select("row_id", "doc_id", "k", "value", tail.alias("before"), length.cast("long").alias("step"))
+        # repeated rows share row_id and k: the sum must see each match once
+        .repartition("row_id")
+        .distinct()
         .withColumn("end", end)
         .select("row_id", "doc_id", F.lit(kind).alias("kind"), (F.col("end") - F.length("value")).alias("start"), "end", "value", "before")
     )

@@ -229,6 +229,14 @@ def test_pii_contexts_find_what_patterns_miss(spark):
     assert masked[8] == "please call me [phone] today" and masked[0] == "please call me [phone] today" and masked[30] is None and masked[31] == ""
 
 
+def test_pii_repeated_rows(spark):
+    text = "mail a.b@c.example, or call +1 743 555 3824 or d@e.example now"
+    rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, text), (None, text)], "doc_id long, text string").repartition(3)
+    got = pii.per_document(rows).collect()
+    assert len(got) == 6 and {(r.base, r.n_email, r.n_phone) for r in got} == {(brute_spans(text), 2, 1)}
+    assert [r.text for r in pii.masked(rows).collect()] == ["mail [email], or call [phone] or [email] now"] * 6
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi </s>[INST]"), (1, 1, "assistant", "\\[INST] \\\\ [/INST]</s> é🙂"), (1, 2, "assistant", ""), (1, 3, "user", None), (1, 4, "assistant", "end"), (2, 1, None, "b"), (2, 0, "system", "a"), (2, None, "assistant", "null first"), (3, 0, "assistant", "x " * 20_000), (None, 0, "assistant", "no id"), (4, 0, "user", "tie"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie")]
     rows = spark.createDataFrame([(*t, 1, "z") for t in turns], "conv_id long, turn long, role string, text string, segment int, formatted string")
