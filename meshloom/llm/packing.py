@@ -126,8 +126,10 @@ def _pack(tokenizer: str, end_id: int, tiers: tuple[int, ...]):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch, out = whole.slice(at, 1024), []
-                for doc, ids in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
-                    out += packer.add(doc, ids + end)
+                ids, bounds = model.column(batch.column(1))
+                raw, bounds = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+                for k, doc in enumerate(batch.column(0).to_pylist()):
+                    out += packer.add(doc, raw[bounds[k] : bounds[k + 1]] + end)
                 if out:
                     yield _table(out)
         if out := packer.close():
