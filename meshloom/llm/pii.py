@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import forget, read_table, stash, unused
 
 #: Kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone")
@@ -46,21 +46,23 @@ PRIOR = 1.0
 
 
 def _split(docs: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """(row_id, doc_id, kind, start, end, value, before): matches in code points, end exclusive; before: the text up to the match
-    before it."""
+    """(row_id, doc_id, kind, start, end, value, before): matches in code points, end exclusive; before: the last words before the
+    match, with the two matches before it and theirs."""
     may = F.col("text").contains(MAY[kind]) if kind in MAY else F.col("text").rlike(pattern)
     pieces = docs.where(may).select("row_id", "doc_id", F.split("text", pattern, -1).alias("pieces"), F.expr(f"regexp_extract_all(text, r'{pattern}', 0)").alias("found"))
     each = pieces.where(F.size("found") > 0).select("row_id", "doc_id", F.posexplode(F.arrays_zip(F.slice("pieces", 1, F.size("found")).alias("before"), F.col("found").alias("value"))).alias("k", "m")).select("row_id", "doc_id", "k", "m.*")
     # only texts with matches come here, and of them only the matches and their lengths
     length = F.length("before") + F.length("value")
-    end = F.sum("step").over(Window.partitionBy("row_id").orderBy("k"))
-    tail = F.expr("right(before, 80)")
+    in_row = Window.partitionBy("row_id").orderBy("k")
+    end = F.sum("step").over(in_row)
+    # a piece may have fewer than two words, and a word may begin before it
+    earlier = [F.coalesce(F.lag(c, n).over(in_row), F.lit("")) for n in (2, 1) for c in ("tail", "value")]
     return (
-        each.select("row_id", "doc_id", "k", "value", tail.alias("before"), length.cast("long").alias("step"))
+        each.select("row_id", "doc_id", "k", "value", _tail(F.col("before")).alias("tail"), length.cast("long").alias("step"))
         # repeated rows share row_id and k: the sum must see each match once
         .repartition("row_id")
         .distinct()
-        .withColumn("end", end)
+        .select("*", end.alias("end"), F.concat(*earlier, "tail").alias("before"))
         .select("row_id", "doc_id", F.lit(kind).alias("kind"), (F.col("end") - F.length("value")).alias("start"), "end", "value", "before")
     )
 
@@ -76,10 +78,15 @@ def _valid(kind: Column, value: Column) -> Column:
     return F.when(kind == "ip", F.forall(F.split(value, r"\."), part)).when(kind == "card", card).when(kind == "phone", F.length(digits).between(9, 15)).otherwise(F.lit(True))
 
 
+def _tail(text: Column) -> Column:
+    """The last two words of a text and the white space behind them; of a text with fewer words, all of it. Read from the end, so that
+    what is before costs nothing but its reversal."""
+    return F.reverse(F.regexp_extract(F.reverse(text), r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++)?+)?+", 0))
+
+
 def _context(before: Column) -> Column:
     """The last two words before a match, lower-cased, without punctuation around; null if there are fewer."""
-    words = F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 0)
-    plain = F.lower(F.trim(F.regexp_replace(words, r"[^\p{L}\p{N}]+", " ")))
+    plain = F.lower(F.trim(F.regexp_replace(_tail(before), r"[^\p{L}\p{N}]+", " ")))
     return F.when(plain.contains(" "), plain)
 
 
@@ -97,14 +104,18 @@ def reliable_patterns(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS)
         seeds.select("kind", "context", F.lower("value").alias("value"), F.lit(1.0).alias("seed")).union(others.select("kind", "context", F.lower("value").alias("value"), F.lit(0.0).alias("seed"))).where("context is not null").groupBy("kind", "context", "value").agg(F.max("seed").alias("seed")),
         "edges",
     )
-    known = edges.groupBy("kind", "value").agg(F.max("seed").alias("score"))
-    patterns = None
+    known, done, patterns = edges.groupBy("kind", "value").agg(F.max("seed").alias("score")), [], None
     for _ in range(rounds):
         scored = edges.join(known, ["kind", "value"])
         patterns = scored.groupBy("kind", "context").agg((F.sum("score") / (F.count("*") + F.lit(PRIOR))).alias("reliability"), F.sum("seed").alias("seeds"))
         patterns = stash(patterns, "patterns")
+        for df in done:
+            forget(df)
         reached = edges.join(patterns.where("seeds > 0"), ["kind", "context"]).groupBy("kind", "value").agg(F.greatest(F.max("seed"), F.max("reliability")).alias("score"))
         known = stash(reached, "known")
+        done = [patterns, known]
+    forget(known)
+    forget(edges)
     return patterns.where((F.col("reliability") >= RELIABLE) & (F.col("seeds") >= SEEDS)).select("kind", "context")
 
 
@@ -157,23 +168,24 @@ def _base_of(kind: str):
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the same columns and rows; in its texts every span is replaced by [kind]. Of overlapping spans the one that
-    starts first, the longer one at a tie, stands for all that it overlaps. Null texts stay null."""
-    of_row = spans(docs, id_col, text_col).select("row_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind").distinct().groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus"), "kind"))).alias("all"))
+    """docs with the same columns and rows, whatever their names; in its texts every span is replaced by [kind]. Of overlapping spans
+    the one that starts first, the longer one at a tie, stands for all that it overlaps. Null texts stay null, repeated rows are
+    each masked alike, an empty table stays empty."""
+    row, found = unused(docs.columns, "row_id", "found")
+    of_row = spans(docs, id_col, text_col).select(F.col("row_id").alias(row), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind").distinct().groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus"), "kind"))).alias(found))
     text = F.col(text_col)
     key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h1"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1)).alias("h2"))
     state = F.aggregate(
-        "all",
+        F.col(found),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], -x["minus"]).alias("at"), acc["parts"].alias("parts"))).otherwise(
             F.struct((-x["minus"]).alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), x["kind"], F.lit("]")))).alias("parts"))
         ),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))),
     )
-    columns = docs.columns
     # the spans grow with the documents, so they are never broadcast, however few they may be here
-    joined = docs.withColumn("__row", key).join(of_row.withColumnRenamed("row_id", "__row").hint("merge"), "__row", "left")
-    return joined.withColumn(text_col, F.when(F.col("all").isNull(), text).otherwise(state)).select(*columns)
+    joined = docs.withColumn(row, key).join(of_row.hint("merge"), row, "left")
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(state)).select(*docs.columns)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
