@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -10,19 +11,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a per-process cache may hold; it is emptied when it is full.
-CACHE_ENTRIES = 300_000
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a temporary one, but only if executors are
+    threads of this machine; a cluster has to name its folder."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("meshloom.scratch", None)
     if not own:
         own = tempfile.mkdtemp(prefix="meshloom-")
@@ -57,6 +57,16 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, id and UTF-8 bytes, a null text as an empty one. All else is pruned from the scan."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("body"))

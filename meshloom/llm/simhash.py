@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stash
+from .common import forget, id_and_text, stash, unused
 from .components import components
 
 #: Distinct fingerprints in a bucket that are still compared pair by pair. A compared pair is several times cheaper
@@ -53,7 +53,8 @@ def fingerprint(body: bytes, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        names = batch.schema.names
+        yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=[names[0], "fp", *names[2:]])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +66,7 @@ def links(fps: DataFrame) -> DataFrame:
     """fps (fp), distinct -> (a, b): edges that connect whatever fingerprints of at most two differing bits connect."""
     low = F.lit(0xFFFFFFFF)
     # 64 rows come of each, so they are dealt out before
-    spread = fps.repartition("fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    spread = _dealt(fps, 10_000).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     variants = spread.select(
         "fp",
         F.expr("shiftrightunsigned(fp, i & 32)").bitwiseAND(low).bitwiseAND(F.expr("~shiftleft(1L, i & 31)")).bitwiseOR(F.expr("shiftleft(cast(i as long), 32)")).alias("variant"),
@@ -88,10 +89,15 @@ def links(fps: DataFrame) -> DataFrame:
     return left.join(right, met).select("a", "b").union(_two_deleted(stash(crowded, "crowded"))).distinct()
 
 
+def _dealt(fps: DataFrame, rows: int) -> DataFrame:
+    """fps (fp) in partitions of about so many rows. With a number given, adaptive execution doesn't put them together again."""
+    return fps.repartition(min(100_000, 1 + fps.count() // rows), "fp")
+
+
 def _two_deleted(fps: DataFrame) -> DataFrame:
     """Edges among fingerprints by the forms with bits i < j deleted; at most four fingerprints share a form."""
     forms = (
-        fps.repartition("fp")
+        _dealt(fps, 500)
         .select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i"))
         .select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
         .select("fp", F.expr("i * 64 + j").alias("ij"), F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("form"))
@@ -112,27 +118,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties get the same class. A null doc_id gets a row, but never names a class unless its whole class has none. Other
     columns are ignored. An empty table gives no rows."""
     fps = stash(fingerprints(docs, id_col, text_col), "fps")
+    return _grouped(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(fps: DataFrame) -> DataFrame:
+    """fps, stashed, with doc_id and fp -> + component_id."""
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
-    reached = components(links(classes.select("fp")))
+    reached = components(edges := stash(links(classes.select("fp")), "links"))
+    forget(edges)
     # the component's name is a fingerprint; what is asked for is the smallest doc_id of its classes
     named = reached.join(classes, reached.node == classes.fp).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_fp = stash(reached.join(named, "component").select(F.col("node").alias("fp"), "component_id"), "of_fp")
     least = classes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return fps.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(least, "fp")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their group: those with its smallest doc_id.
-
-    Of repeated rows of one doc_id in a group one stays. Rows with a null doc_id can't be told apart and all stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    stays = stash(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stays")).agg(F.count("*").alias("__n")), "stays")
-    own = F.col(id_col).cast("long")
+    """The rows of docs, with all their columns, that stand for their group: of each group one row with its smallest doc_id.
+
+    A row is known by its doc_id and a 128-bit digest of its text, so different texts of one doc_id are in groups of their own. Of
+    several rows of a group with that doc_id the one of the least digests of its text and of all its columns stays. Rows with a
+    null doc_id can't be told apart and all stay. An empty table stays empty."""
+    own, h1, h2, row = unused(docs.columns, "own", "h1", "h2", "row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({own: F.col(id_col).cast("long"), h1: F.xxhash64(text), h2: F.xxhash64(text, F.lit(1))})
+    bodies = keyed.select(F.col(own).alias("doc_id"), F.encode(text, "UTF-8").alias("body"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))
+    fps = stash(bodies.mapInArrow(_fingerprints, "doc_id long, fp long, h1 long, h2 long"), "fps")
+    first = _grouped(fps).where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.count("*").alias("n"))
+    stays = stash(first.select(F.col("component_id").alias(own), F.col("h.h1").alias(h1), F.col("h.h2").alias(h2), "n"), "stays")
     # what stays grows with the documents, so it is never broadcast, however small it may be here
-    kept = docs.join(stays.hint("merge"), own == F.col("__stays"), "left_semi")
-    if stays.where("__n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = keyed.join(stays.drop("n").hint("merge"), [own, h1, h2], "left_semi")
+    if stays.where("n > 1").limit(1).count():
+        hashed = [c for c, t in docs.dtypes if "map<" not in t]
+        kept = kept.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+        least = kept.groupBy(own, h1, h2).agg(F.min(row).alias(row))
+        kept = kept.join(least.hint("merge"), [own, h1, h2, row], "left_semi").dropDuplicates([own, h1, h2])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
