@@ -3,9 +3,12 @@
 The cascade is built over the complete universe of keys, which is all hosts of the table. Level 0 encodes the listed
 keys; level 1 the keys that aren't listed but pass level 0; level 2 the listed keys that pass level 1; and so on, until
 no key is wrong. A key's first level that it doesn't pass tells what it is, so for every key of the universe the answer is
-exact, and no join is made. Level 0's false positive rate is set to about the share of listed keys, so the levels above
-hold about as many keys as the list: the cascade's size follows the list, not the universe, and is checked before it is
-broadcast.
+exact, and pages are joined with nothing. Level 0's false positive rate is set to about the share of listed keys, so the levels
+above hold about as many keys as the list: the cascade's size follows the list, not the universe. Keys are dealt by hash to as
+many cascades as it takes for each to stay below CASCADE_BYTES; beyond one, they are broadcast one after the other, and what
+each has judged is written before the next.
+
+The list is a table. Which hosts of the universe it has is found once, by an equality join of the distinct hosts' domain suffixes.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import forget, read_table, stash
 
 #: Fixed values of the query: (verdict, host, path).
 RULES = (
@@ -29,10 +32,14 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: Parameter of the query: hosts to block where no rule fits, with their subdomains.
-LISTED = ("free-bets.example.com", "casino.example.net", "pills.example.org")
-#: Most bytes of a cascade that is broadcast.
+LISTED = ("free-bets.example.com", "casino.example.net", "pills.example.org", "adult-x.example.net")
+#: Bytes of a cascade that is broadcast, and the most listed keys that are expected to fit: a level takes less than 4 bytes a key,
+#: but for one that isn't rare, and all levels together no more than twice that.
 CASCADE_BYTES = 64 << 20
+BYTES_PER_KEY = 16
 HASHES = 4
+#: Parts that rows of one suffix are dealt to.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -55,9 +62,22 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return rule, verdict
 
 
-def suffixes(host: str) -> list[str]:
-    labels = host.split(".")
-    return [".".join(labels[k:]) for k in range(len(labels))]
+def listed_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """hosts (key), distinct; listed (host) -> (key, listed): whether the key or a domain above it is listed, A-Z lower-cased.
+
+    Only suffixes no longer than the longest listed host are looked for. Those of many hosts, as com is, are salted."""
+    low = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    names = listed.select(low.alias("suffix")).where("suffix <> ''").distinct()
+    longest = names.agg(F.max(F.length("suffix"))).first()[0] or 0
+    tail = F.expr(f"right(key, {longest + 1})")
+    labels = F.split(tail, r"\.")
+    # a suffix begins a host or stands behind a dot
+    first = F.when(F.length("key") > longest, F.lit(2)).otherwise(F.lit(1))
+    suffixes = F.when(F.size(labels) >= first, F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    each = hosts.select("key", F.explode(suffixes).alias("suffix")).where("suffix <> ''").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    salted = names.select("suffix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    bad = each.join(salted, ["suffix", "salt"], "left_semi").select("key").distinct().withColumn("hit", F.lit(True))
+    return hosts.join(bad, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed"))
 
 
 class Cascade:
@@ -118,8 +138,6 @@ def _through(held, level: int):
 
 def _level(keys: DataFrame, seed: int, bits: int) -> np.ndarray:
     """The bit array of a level. It is put together by an aggregate; the driver receives its bytes, not the keys."""
-    if bits > 8 * CASCADE_BYTES:
-        raise ValueError(f"a level of {bits} bits is beyond the {CASCADE_BYTES} bytes that are broadcast; split the list")
     at = keys.select(F.explode(_places_column(seed, bits)(F.col("key"))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("mask"))
     filled = np.zeros((bits + 63) // 64, np.uint64)
@@ -129,9 +147,8 @@ def _level(keys: DataFrame, seed: int, bits: int) -> np.ndarray:
 
 
 def build_cascade(universe: DataFrame, most_levels: int = 64) -> Cascade:
-    """universe (key, listed): distinct keys. Each level's keys are what the levels before get wrong."""
-    spark = universe.sparkSession
-    keys = stash(universe, "universe")
+    """universe (key, listed): distinct keys, written already. Each level's keys are what the levels before get wrong."""
+    spark, keys = universe.sparkSession, universe
     n_listed, n_all = keys.agg(F.count(F.when(F.col("listed"), 1)), F.count("*")).first()
     cascade = Cascade()
     side, n, open_ = True, n_listed, keys
@@ -141,8 +158,6 @@ def build_cascade(universe: DataFrame, most_levels: int = 64) -> Cascade:
         rate = min(0.5, n_listed / max(1, n_all - n_listed) / 2) if level == 0 else 0.5
         bits = bits_for(n, rate)
         cascade.levels.append((level, bits, _level(open_.where(F.col("listed") == side), level, bits)))
-        if sum(x[1] for x in cascade.levels) > 8 * CASCADE_BYTES:
-            raise ValueError("the cascade is too large to broadcast; split the list")
         through = _through(spark.sparkContext.broadcast(cascade), level)
         # the other side's keys that pass are wrong at this level; the keys encoded here stay in question
         open_ = open_.where((F.col("listed") == side) | through(F.col("key")))
@@ -151,28 +166,39 @@ def build_cascade(universe: DataFrame, most_levels: int = 64) -> Cascade:
     raise ValueError("the cascade did not end")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] | DataFrame = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, listed.
 
-    rule is the longest that fits (host or subdomain, path begins with its path), else null. The verdict is the rule's;
-    without one, block if the host or a domain above it is listed, else allow. A null url, or one without ://, has an
-    empty host and path: no rule fits and it is allowed, as empty keys are never listed. Repeated rows stay. Other columns
-    are ignored. An empty table gives no rows."""
+    listed: hosts, or a table with a column host; null and empty ones are ignored. rule is the longest that fits (host or
+    subdomain, path begins with its path), else null. The verdict is the rule's; without one, block if the host or a domain above
+    it is listed, else allow. A null url, or one without ://, has an empty host and path: no rule fits and it is allowed, as empty
+    keys are never listed. Very long urls are cut whole. Repeated rows stay. Other columns are ignored. An empty table gives no rows."""
     spark = pages.sparkSession
+    names = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "host string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    bad = frozenset(x.lower() for x in listed if x)
-    test = F.lit(False)
-    for x in sorted(bad):
-        test = test | (F.col("key") == x) | F.col("key").endswith("." + x)
-    held = spark.sparkContext.broadcast(build_cascade(rows.select(F.col("host").alias("key")).distinct().select("key", test.alias("listed"))))
-
+    rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
+    universe = stash(listed_hosts(rows.select(F.col("host").alias("key")).distinct(), names.select("host")), "universe")
+    shards = max(1, -(-universe.where("listed").count() * BYTES_PER_KEY // CASCADE_BYTES))
+    done = None
+    for k in range(shards):
+        own = lambda key: F.pmod(F.xxhash64(F.col(key)), F.lit(shards)) == k  # noqa: E731, B023
+        held = spark.sparkContext.broadcast(build_cascade(universe if shards == 1 else universe.where(own("key"))))
+        judged = (rows if shards == 1 else rows.where(own("host"))).select("*", rule.alias("rule"), verdict.alias("by_rule"), _member(held)(F.col("host")).alias("listed"))
+        judged = judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+        if shards > 1:
+            judged = stash(judged, "judged")
+            held.destroy()
+        done = judged if done is None else done.union(judged)
+    forget(universe)
+    return done
+
+
+def _member(held):
     @F.arrow_udf("boolean")
     def member(hosts: pa.Array) -> pa.Array:
         return pa.array(held.value.listed(hosts.to_pylist()), pa.bool_())
 
-    rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), member(F.col("host")).alias("listed"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+    return member
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
