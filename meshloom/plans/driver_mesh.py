@@ -1,7 +1,8 @@
 """Meshes derived from tables, by SQL text that Spark and DuckDB both run.
 
-A height field over the rows of a table, ordered by a dense integer key: W = floor(sqrt(n)) rows of W points, two faces a
-cell. Ids carry the patch in front, so that patches of one mesh have ids of their own.
+A height field over the rows of a table, ordered by a dense integer key: rows of W = floor(sqrt(n)) points, the last ones as far
+as the table goes, and two faces a cell wherever their corners exist. Ids carry the patch in front, so that patches of one mesh
+have ids of their own.
 """
 
 from __future__ import annotations
@@ -16,22 +17,22 @@ PATCHES = (
     ("customer", "c_custkey", "0.0001 * c_acctbal", "1.0", "200.0"),
     ("supplier", "s_suppkey", "0.000001 * s_acctbal", "0.05", "1.2"),
 )
-SPAN = 10_000_000
+SPAN = 1_000_000_000_000
 
 
 def patch_vertices(table: str, key: str, height: str, step: str, floor: str, patch: int, mesh: str = "0") -> str:
-    return f"""SELECT CAST({mesh} AS BIGINT) AS mesh_id, CAST({patch} AS BIGINT) AS patch, CAST({patch * SPAN} AS BIGINT) + k AS vid, k, w,
+    return f"""SELECT CAST({mesh} AS BIGINT) AS mesh_id, CAST({patch} AS BIGINT) AS patch, CAST({patch * SPAN} AS BIGINT) + k AS vid, k, w, n,
       CAST(i AS DOUBLE) * CAST({step} AS DOUBLE) AS x, CAST(j AS DOUBLE) * CAST({step} AS DOUBLE) AS y, CAST({floor} AS DOUBLE) + z AS z
-    FROM (SELECT k, w, CAST(floor(k / w) AS BIGINT) AS i, k - w * CAST(floor(k / w) AS BIGINT) AS j, z FROM (
-      SELECT CAST({key} AS BIGINT) AS k, CAST(floor(sqrt((SELECT count(*) FROM {table}))) AS BIGINT) AS w, CAST({height} AS DOUBLE) AS z FROM {table}) r WHERE k < w * w) g"""
+    FROM (SELECT k, w, n, CAST(floor(k / w) AS BIGINT) AS i, k - w * CAST(floor(k / w) AS BIGINT) AS j, z FROM (
+      SELECT CAST({key} AS BIGINT) AS k, CAST(floor(sqrt((SELECT count(*) FROM {table}))) AS BIGINT) AS w, (SELECT count(*) FROM {table}) AS n, CAST({height} AS DOUBLE) AS z FROM {table}) r) g"""
 
 
 def segment_vertices() -> str:
     """A mesh for each market segment."""
-    return """SELECT mesh_id, CAST(0 AS BIGINT) AS patch, k AS vid, k, w, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, z
-    FROM (SELECT mesh_id, k, w, CAST(floor(k / w) AS BIGINT) AS i, k - w * CAST(floor(k / w) AS BIGINT) AS j, z FROM (
-      SELECT CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS mesh_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k,
-        CAST(floor(sqrt(count(*) OVER (PARTITION BY c_mktsegment))) AS BIGINT) AS w, CAST(0.0001 * c_acctbal AS DOUBLE) AS z FROM customer) r WHERE k < w * w) g"""
+    return """SELECT mesh_id, CAST(0 AS BIGINT) AS patch, k AS vid, k, w, n, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, z
+    FROM (SELECT mesh_id, k, w, n, CAST(floor(k / w) AS BIGINT) AS i, k - w * CAST(floor(k / w) AS BIGINT) AS j, z FROM (
+      SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY c_custkey) - 1 AS k, CAST(floor(sqrt(count(*) OVER (PARTITION BY mesh_id))) AS BIGINT) AS w, count(*) OVER (PARTITION BY mesh_id) AS n, CAST(0.0001 * c_acctbal AS DOUBLE) AS z
+      FROM (SELECT c_mktsegment, c_custkey, c_acctbal FROM customer) c JOIN (SELECT c_mktsegment AS segment, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS mesh_id FROM (SELECT DISTINCT c_mktsegment FROM customer) d) s ON c_mktsegment IS NOT DISTINCT FROM segment) r) g"""
 
 
 def mesh_vertices() -> str:
@@ -41,9 +42,9 @@ def mesh_vertices() -> str:
 
 def faces_of(vertices: str) -> str:
     """(mesh_id, patch, fid, a, b, c) over a relation of vertices."""
-    cells = f"(SELECT mesh_id, patch, vid, k, w, k - CAST(floor(k / w) AS BIGINT) AS q FROM {vertices} WHERE CAST(floor(k / w) AS BIGINT) < w - 1 AND k - w * CAST(floor(k / w) AS BIGINT) < w - 1)"
-    return f"""SELECT mesh_id, patch, patch * {2 * SPAN} + 2 * q AS fid, vid AS a, vid + w AS b, vid + 1 AS c FROM {cells} lower_half
-    UNION ALL SELECT mesh_id, patch, patch * {2 * SPAN} + 2 * q + 1 AS fid, vid + 1 AS a, vid + w AS b, vid + w + 1 AS c FROM {cells} upper_half"""
+    cells = lambda last: f"(SELECT mesh_id, patch, vid, k, w, k - CAST(floor(k / w) AS BIGINT) AS q FROM {vertices} WHERE k + w + {last} < n AND k - w * CAST(floor(k / w) AS BIGINT) < w - 1)"
+    return f"""SELECT mesh_id, patch, patch * {2 * SPAN} + 2 * q AS fid, vid AS a, vid + w AS b, vid + 1 AS c FROM {cells(0)} lower_half
+    UNION ALL SELECT mesh_id, patch, patch * {2 * SPAN} + 2 * q + 1 AS fid, vid + 1 AS a, vid + w AS b, vid + w + 1 AS c FROM {cells(1)} upper_half"""
 
 
 def with_mesh(vertices: str) -> str:

@@ -7,8 +7,8 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-#: The phases of a run, in order.
-PHASES = ("normalize", "ingest", "triage", "bridges", "dual_graph", "seed", "grow", "repair", "relax", "extract")
+#: The phases that plans.pipeline.run enters, in order; growth and repair are steps of each iteration of the relaxation.
+PHASES = ("normalize", "ingest", "triage", "bridges", "dual_graph", "seed", "relax", "extract")
 #: Least seconds between two reports.
 EVERY = 0.25
 

@@ -21,7 +21,7 @@ from meshloom.operators.graph import shortest_paths
 from meshloom.plans import pipeline
 from meshloom.schema import FACE, VERTEX, Mesh
 from meshloom.sources import obj, sinks
-from meshloom.streaming.progress import Progress
+from meshloom.streaming.progress import PHASES, Progress
 
 
 def mesh_of(spark, points, faces, mesh_id=0):
@@ -81,9 +81,9 @@ def test_infeasible_counts(spark):
     a, fa = box((1, 1, 1))
     b, fb = box((1, 1, 1), (10, 0, 0), 8)
     w = I.ingest(mesh_of(spark, a + b, fa + fb))
-    with pytest.raises(ValueError, match="too low"):
+    with pytest.raises(ValueError, match="can't cover"):
         T.triage(w.face, 1)
-    with pytest.raises(ValueError, match="n_pieces"):
+    with pytest.raises(ValueError, match="at least"):
         T.triage(w.face, 0)
 
 
@@ -217,9 +217,11 @@ def test_pipeline_outputs(spark, tmp_path):
     a, fa = box((1, 1, 1))
     b, fb = box((1, 1, 1), (2.2, 0, 0), 8)
     mesh = mesh_of(spark, a + b, fa + fb)
-    progress = Progress()
+    told = []
+    progress = Progress(told.append, iter(range(10**6)).__next__)
     found = pipeline.run(mesh, 4, i_max=3, progress=progress)
-    assert list(progress.timings) == [p for p in ("normalize", "ingest", "triage", "bridges", "dual_graph", "seed", "relax", "extract")]
+    assert [s["substep"]["current"] for s in told if s["substep"]] == [1, 2, 3, 4] and {s["phase"] for s in told if s["substep"]} == {"bridges"}
+    assert list(progress.timings) == list(PHASES) and progress.snapshot()["done"] == progress.snapshot()["phases"]
     table = C.piece_table(found["pieces"]).orderBy("piece").collect()
     assert sum(r.faces for r in table) == 24 and len(table) == 4
     payload = json.loads(C.checkpoint_json(found["working"].vertex, found["pieces"]).first().json)
@@ -260,6 +262,12 @@ def test_parameters():
         with pytest.raises(ValueError):
             pipeline.validate(*bad)
     pipeline.validate("a.OBJ", 2, 50)
+    assert pipeline.request("a.obj", {}) == pipeline.Request("a.obj", 8, 15, False)
+    assert pipeline.request("a.obj", {"n_pieces": "4", "max_iterations": "3", "force_exact_count": "TRUE"}) == pipeline.Request("a.obj", 4, 3, True)
+    assert [pipeline.request("a.obj", {"force_exact_count": x}).force_exact_count for x in ("on", "1", "yes", "0", "")] == [True, True, False, False, False]
+    for name, form in ((None, {}), ("", {}), ("a.obj", {"n_pieces": "many"}), ("a.obj", {"max_iterations": "1.5"}), ("a.obj", {"n_pieces": "1"})):
+        with pytest.raises(ValueError):
+            pipeline.request(name, form)
 
 
 def test_nearest_of_all_others_equals_brute_force(spark):

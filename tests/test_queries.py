@@ -7,10 +7,11 @@ import pytest
 from meshloom.plans import queries as Q
 
 TABLES = "/root/testdata/sf0.001"
+NEW = ["anchors", "bridge_edges", "forced_bridges", "promoted_pieces", "enclosed_satellites", "weld_spread", "purge_after_weld", "reversed_faces", "label_islands", "region_medoids", "refined_areas", "extracted_attributes", "piece_colours", "manifest_fields", "obj_attributes"]
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
-@pytest.mark.parametrize("name", ["face_geometry", "edge_classes", "triage_pieces", "region_measures", "extracted_faces", "obj_round_trip", "range_join", "percentiles"])
+@pytest.mark.parametrize("name", ["face_geometry", "edge_classes", "triage_pieces", "region_measures", "extracted_faces", "obj_round_trip", "range_join", "percentiles", "nearest_other_vertex", *NEW])
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -26,12 +27,6 @@ def test_query_equals_sql(spark, name):
     assert got == [[pytest.approx(x, abs=2e-6) if isinstance(x, float) else x for x in r] for r in rows]
 
 
-@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
-@pytest.mark.parametrize("name", ["nearest_vertex", "nearest_other_vertex"])
-def test_nearest_equals_sql(spark, name):
-    test_query_equals_sql(spark, name)
-
-
 @pytest.mark.parametrize("name", ["relaxed_labels", "relaxed_iterations"])
 def test_relaxation_runs_with_the_default_limit(monkeypatch, name):
     limits = []
