@@ -42,7 +42,7 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Bytes of a word that fit a key, which holds three numbers and, in its last byte, whether a space is before the word.
 KEY_BYTES = 23
 #: Words that the table holds, and bytes of text that are worked off together.
-WORDS, TOGETHER = 1_000_000, 2 << 20
+WORDS, TOGETHER = 500_000, 1 << 19
 #: Other parts that are kept, and how long they may be.
 PARTS, PART_BYTES = 300_000, 200
 #: Tokens of their own in both vocabularies: one that no run has, and one for parts that don't have it.
