@@ -9,21 +9,23 @@ its count). At similarity 0.8 the expected distance is about 10 with a deviation
 Windows are fingerprinted only where enough of their shingles occur in any item for similarity 0.8 to be possible at all:
 that bound is exact, and it spares the work on clean text. A document is never shuffled or cut.
 
-The items reach the tasks as a broadcast of bounded size. A benchmark beyond ITEM_BLOCK_WORDS is taken in blocks, one
-scan of the documents each.
+The items reach the tasks as a broadcast of bounded size. A benchmark beyond ITEM_BLOCK_WORDS is taken in blocks, one scan of the
+documents each: the driver holds one block at a time, and what a block finds is written before its broadcast makes way for
+the next.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WHITE_SPACE_AND_PUNCTUATION, hashed_words, mixed, read_table, rolled
+from .common import BASES, WHITE_SPACE_AND_PUNCTUATION, hashed_words, mixed, read_table, rolled, stash
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -128,20 +130,22 @@ class ItemIndex:
         return sorted((self.ids[k], *x) for k, x in best.items())
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    blocks, words = [[]], 0
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """(items, whether it is the last block); one block, empty, of an empty benchmark. Rows come to the driver partition by partition."""
+    block, words = [], 0
     for item_id, text in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).na.drop().toLocalIterator():
-        words += len(text.split())
-        if words > ITEM_BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            words = len(text.split())
-        blocks[-1].append((item_id, text))
-    return blocks
+        n = len(text.split())
+        if block and words + n > ITEM_BLOCK_WORDS:
+            yield block, False
+            block, words = [], 0
+        block.append((item_id, text))
+        words += n
+    yield block, True
 
 
-def hits(spark: SparkSession, text: Column, items: list[tuple[int, str]]) -> Column:
-    """Column of the items found in a text; empty for a null text, an empty one and a clean one."""
-    index = spark.sparkContext.broadcast(ItemIndex(items))
+def hits(index: Broadcast) -> Callable[[Column], Column]:
+    """A column of the items found in a text; empty for a null text, an empty one and a clean one."""
+
     @F.arrow_udf(HITS)
     def found(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32())]))
@@ -149,25 +153,34 @@ def hits(spark: SparkSession, text: Column, items: list[tuple[int, str]]) -> Col
         every = (h for k in range(0, len(texts), 256) for h in plain_words(texts.slice(k, 256).to_pylist()))
         return pa.array([[dict(zip(names, x, strict=True)) for x in index.value.search(h)] for h in every], kind)
 
-    return found(text)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): one row per row of docs and item found in it; the best window.
 
     Null texts, empty ones and texts shorter than a shingle of the item are in no row; null items and items without words
-    are never found. Repeated rows, of documents or items, each give rows. Other columns are ignored. Empty tables give none."""
+    are never found. Long texts are searched whole. Repeated rows, of documents or items, each give rows. Other columns are ignored.
+    Empty tables give none."""
     found = None
-    for items in item_blocks(benchmark):
-        block = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(hits(docs.sparkSession, F.col(text_col), items)).alias("hit")).select("doc_id", "hit.*")
+    for items, last in item_blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
+        block = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(hits(index)(F.col(text_col))).alias("hit")).select("doc_id", "hit.*")
+        if not last:
+            block = stash(block, "hits")
+            index.destroy()
         found = block if found is None else found.union(block)
     return found
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which no item is found."""
-    for items in item_blocks(benchmark):
-        docs = docs.where(F.size(hits(docs.sparkSession, F.col(text_col), items)) == 0)
+    """The rows of docs, with all their columns, in which no item is found; repeated rows and rows without a text stay."""
+    for items, last in item_blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
+        docs = docs.where(F.size(hits(index)(F.col(text_col))) == 0)
+        if not last:
+            docs = stash(docs, "clean")
+            index.destroy()
     return docs
 
 
