@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import WHITE_SPACE_AND_PUNCTUATION, hashed_words, read_table
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, STEMS = 1 << 15, 12, 8, (1, 2, 3), (4, 6)
-#: Labelled rows that the weights are fitted on at most, of each class.
+#: Labelled rows that the weights are fitted on at most, of each class, and the characters of their texts together.
 SAMPLE = {1: 3000, 0: 5000}
+SAMPLE_CHARS = 40_000_000
 #: Bins of a logit, for each unit of it, and the limit of what is told apart.
 BINS, FAR = 128, 30
 EPOCHS = 4
@@ -204,13 +205,14 @@ def may_learn(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 != 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit the weights on a bounded sample of the labelled rows that may be learned from, the same at every run; calibrate on all
     others of them.
 
     A fifth of the rows is kept out of the sample, however few there are. Of the others, those of each class least by a hash of
-    doc_id are taken. Null labels, labels other than 0 and 1 and labels without a document are ignored; a doc_id with several
-    rows counts for each."""
+    doc_id are taken, as far as their texts fit into sample_chars; of several texts of one doc_id the one of the least hash. Null
+    labels, labels other than 0 and 1 and labels without a document are ignored; a doc_id with several rows counts for each outside
+    the sample. An empty table, or one class alone, gives a constant model."""
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(may_learn(F.col("doc_id")))
@@ -218,13 +220,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     for label, most in sample.items():
         some = usable.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(5)) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
-    # at most sum(sample.values()) rows of two numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", word_ids(F.col("text")).alias("ids")).collect()
+    # at most sum(sample.values()) rows of a few numbers, here and in what is taken
+    chosen = F.broadcast(chosen.withColumn("place", F.xxhash64("doc_id")))
+    which = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))).alias("least")
+    listed = texts.join(chosen, "doc_id").groupBy("place", "doc_id", "toxic").agg(which).select("place", "doc_id", "toxic", "least.*").collect()
+    taken, room = [], sample_chars
+    for r in sorted(listed):
+        if r.chars <= room:
+            taken.append((r.doc_id, r.toxic, r.h))
+            room -= r.chars
+    fitted = F.broadcast(spark.createDataFrame(taken, "doc_id long, toxic int, h long"))
+    rows = texts.withColumn("h", F.xxhash64("text")).join(fitted, ["doc_id", "h"]).dropDuplicates(["doc_id", "toxic"]).select("doc_id", "toxic", word_ids(F.col("text")).alias("ids")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.ids)))
     model = fit([(np.frombuffer(r.ids, "<i4").reshape(-1, 1 + len(STEMS)), r.toxic) for r in rows])
     if model.table is not None:
-        fitted = spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in rows})], "doc_id long")
-        calibrate(model, outside(texts.join(F.broadcast(fitted), "doc_id", "left_anti"), usable, model), Counter(r.toxic for r in rows))
+        calibrate(model, outside(texts.join(fitted.select("doc_id").distinct(), "doc_id", "left_anti"), usable, model), Counter(r.toxic for r in rows))
     return model
 
 
@@ -284,7 +294,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold of their language."""
+    """The rows of docs, with all their columns, whose score is below the threshold of their language; repeated rows alike."""
     return docs.where(scored(docs.sparkSession, model, F.col("text")) < threshold_of(model, F.col("lang")))
 
 
