@@ -2,8 +2,9 @@
 
 Equal vectors are one class with a count. Class vectors are normed and rotated into the principal axes of a bounded
 sample (any rotation keeps cosines, so the sample affects speed alone), which puts most of a product into the leading
-dimensions. Inside a label, classes are laid along the first axis and cut into tiles; pairs of tiles whose bounding boxes
-in the first axes are farther apart than the threshold allows are skipped. A tile pair is compared by accumulating the
+dimensions. Classes are sorted by label and along the first axis, over range partitions, and cut into tiles as they come; tiles
+that meet in a band of the first axis, and whose bounding boxes in the first axes are no farther apart than the threshold allows,
+are compared. A tile pair is compared by accumulating the
 leading dimensions first and bounding the rest of each product by the norms of the suffixes; it stops when no pair can
 still reach the threshold, and goes on for the open pairs alone when they are few. What remains is decided by the cosine of the original vectors in
 double precision.
@@ -14,14 +15,16 @@ so a group of n near copies costs rows in proportion to n and not to its square.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import forget, read_table, stash
 from .components import components
 
 THRESHOLD = 0.93
@@ -113,6 +116,39 @@ def _project(axes: np.ndarray | None):
     return rows
 
 
+def _tiles(size: int):
+    """From sorted rows (label, dim, vec_id, n, embedding, box): stretches of one label and dim, up to `size` rows each, with the box
+    around them. Rows are numbered from the task's own number on; a tile has the number of its first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, n, first = None, 0, TaskContext.get().partitionId() << 33
+
+        def table() -> pa.RecordBatch:
+            whole = pa.concat_batches(held)
+            box = np.array(whole.column(5).flatten()).reshape(-1, BOX)
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            ends = [pa.array([float(x)]) for k in range(BOX) for x in (box[:, k].min(), box[:, k].max())]
+            columns = [whole.column(0).slice(0, 1), whole.column(1).slice(0, 1), pa.array([first], pa.int64()), one(whole.column(2)), one(whole.column(3)), one(whole.column(4)), *ends]
+            return pa.record_batch(columns, names=["label", "dim", "tile", "ids", "counts", "vectors", *[f"{e}{k}" for k in range(BOX) for e in ("lo", "hi")]])
+
+        for batch in batches:
+            keys, at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), 0
+            while at < batch.num_rows:
+                if held and (keys[at] != now or n == size):
+                    yield table()
+                    held, n, first = [], 0, first + n
+                now, stop = keys[at], at
+                while stop < batch.num_rows and keys[stop] == now and n + stop - at < size:
+                    stop += 1
+                held.append(batch.slice(at, stop - at))
+                n, at = n + stop - at, stop
+        if held:
+            yield table()
+
+    return rows
+
+
 def _compare(axes: np.ndarray | None, threshold: float):
     def vectors(column: pa.Array) -> np.ndarray:
         return np.array(column.as_py(), np.float64)
@@ -121,9 +157,9 @@ def _compare(axes: np.ndarray | None, threshold: float):
         for batch in batches:
             for k in range(batch.num_rows):
                 same = batch.column(0)[k].as_py()
-                ids_a, ids_b = (np.array(batch.column(c)[k].as_py(), np.int64) for c in (1, 4))
                 n_a, n_b = (np.array(batch.column(c)[k].as_py(), np.int64) for c in (2, 5))
                 a, b = _normed(vectors(batch.column(3)[k])), _normed(vectors(batch.column(6)[k]))
+                ids_a, ids_b = (batch.column(c)[k].as_py() + np.arange(len(n), dtype=np.int64) for c, n in ((1, n_a), (4, n_b)))
                 links = linked(a, b, _rotated(a, axes), _rotated(b, axes), threshold)
                 if same:
                     np.fill_diagonal(links, False)
@@ -148,54 +184,53 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
 
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine is at least the threshold.
     A null vector, an empty or zero one, and one with null or infinite components or NaN has no links. Equal vectors of one
-    label link with each other; n_links counts all other rows, repeated ones of the same id too. Other columns are
-    ignored. An empty table gives no rows."""
+    label link with each other; n_links counts all other rows, repeated ones of the same id too. A row without an id has links like
+    any other, but names a component only if no row in it has an id. Long vectors are compared whole. Other columns are ignored. An
+    empty table gives no rows."""
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fit_for = F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.select("vec_id", "label", F.when(fit_for, F.col("embedding")).alias("embedding"))
-    # a row's least id names its class; a class is one vector of one label
-    classes = stash(rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).where("vec_id is not null").select("vec_id", "n", "label", "embedding", F.size("embedding").alias("dim")), "vectors")
+    # a class is one vector of one label; its rows may have any ids, or none
+    classes = stash(rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "n", "label", "embedding", F.size("embedding").alias("dim")), "vectors")
     some = [r[0] for r in classes.select("embedding").limit(SAMPLE).collect()]  # bounded: SAMPLE vectors
     dims = max({len(v) for v in some}, key=lambda d: sum(len(v) == d for v in some)) if some else 0
     axes = axes_of(np.array([v for v in some if len(v) == dims])) if some else None
     placed = stash(classes.mapInArrow(_project(axes), "vec_id long, n long, label " + classes.schema["label"].dataType.simpleString() + ", embedding array<double>, dim int, box array<double>"), "placed")
 
-    sizes = placed.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    most = sizes.agg(F.max("size")).first()[0] or 0
-    cuts = max(1, -(-most // tile))
-    # the tile of a vector: its place among the label's quantiles on the first axis; crowded quantiles are cut once more by hash
-    if cuts > 1:
-        edges = placed.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx(F.col("box")[0], [k / cuts for k in range(1, cuts)], 10_000).alias("edges"))
-        place = F.size(F.filter("edges", lambda e: e < F.col("first")))
-        at = placed.withColumn("first", F.col("box")[0]).join(edges, ["label", "dim"]).withColumn("tile", F.expr(f"cast(ceil(size / {tile}) as int)") * place / F.lit(cuts)).withColumn("tile", F.floor("tile").cast("int"))
-    else:
-        at = placed.withColumn("tile", F.lit(0))
-    crowd = at.groupBy("label", "dim", "tile").agg(F.ceil(F.count("*") / (2 * tile)).cast("int").alias("cuts"))
-    at = at.join(crowd, ["label", "dim", "tile"]).withColumn("sub", F.expr("cast(pmod(xxhash64(vec_id), cuts) as int)"))
-    packed = at.groupBy("label", "dim", "tile", "sub").agg(
-        F.collect_list(F.struct("vec_id", "n", "embedding")).alias("own"),
-        *[F.min(F.col("box")[k]).alias(f"lo{k}") for k in range(BOX)],
-        *[F.max(F.col("box")[k]).alias(f"hi{k}") for k in range(BOX)],
-    )
-    tiles = stash(packed.withColumn("ids", F.col("own.vec_id")).withColumn("counts", F.col("own.n")).withColumn("vectors", F.col("own.embedding")).withColumn("least", F.array_min("own.vec_id")).drop("own"), "tiles")
-
-    box = ["label", "dim", "least", *[f"{e}{k}" for k in range(BOX) for e in ("lo", "hi")]]
-    a, b = tiles.select(*box), tiles.select(*[F.col(c).alias(c if c in ("label", "dim") else f"{c}_b") for c in box])
+    # tiles are stretches of the order along the first axis, inside a label; ties follow the id, so that equal places are dealt out too
+    order = ["label", "dim", "first", "vec_id"]
+    parts = 1 + placed.count() // (8 * tile)
+    along = placed.withColumn("first", F.col("box")[0]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    label_type = classes.schema["label"].dataType.simpleString()
+    tiles = stash(along.select("label", "dim", "vec_id", "n", "embedding", "box").mapInArrow(_tiles(tile), f"label {label_type}, dim int, tile long, ids array<long>, counts array<long>, vectors array<array<double>>, " + ", ".join(f"{e}{k} double" for k in range(BOX) for e in ("lo", "hi"))), "tiles")
+
+    # tiles meet in bands of the first axis as wide as near vectors can be apart: a pair is told by the first band that both reach
+    width = math.sqrt(2 - 2 * threshold) + SLACK
+    box = ["label", "dim", "tile", *[f"{e}{k}" for k in range(BOX) for e in ("lo", "hi")]]
+    band = lambda x: F.floor(x / width)
+    a = tiles.select(*box).withColumn("first_band", band(F.col("lo0"))).withColumn("band", F.explode(F.sequence(F.col("first_band"), band(F.col("hi0")) + 1)))
+    b = tiles.select(*[F.col(c).alias(c if c in ("label", "dim") else f"{c}_b") for c in box]).withColumn("first_band_b", band(F.col("lo0_b"))).withColumn("band", F.explode(F.sequence(F.col("first_band_b"), band(F.col("hi0_b")) + 1)))
     gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"hi{k}_b"), F.col(f"lo{k}_b") - F.col(f"hi{k}")), 2) for k in range(BOX))
-    near = a.join(b, ["label", "dim"]).where((F.col("least") <= F.col("least_b")) & (gap <= 2 - 2 * threshold + SLACK)).select("label", "dim", "least", "least_b")
-    load = lambda key, s: tiles.select("label", "dim", F.col("least").alias(key), F.col("ids").alias(f"ids{s}"), F.col("counts").alias(f"counts{s}"), F.col("vectors").alias(f"vectors{s}"))
-    pairs = near.join(load("least", "_a"), ["label", "dim", "least"]).join(load("least_b", "_b"), ["label", "dim", "least_b"])
-    pairs = pairs.withColumn("same", F.col("least") == F.col("least_b"))
+    near = a.join(b, ["label", "dim", "band"]).where((F.col("tile") <= F.col("tile_b")) & (F.col("band") == F.greatest("first_band", "first_band_b")) & (gap <= 2 - 2 * threshold + SLACK)).select("tile", "tile_b")
+    load = lambda s: tiles.select(F.col("tile").alias(f"tile{s}"), F.col("counts").alias(f"counts{s or '_a'}"), F.col("vectors").alias(f"vectors{s or '_a'}"))
+    pairs = near.join(load(""), "tile").join(load("_b"), "tile_b").withColumn("same", F.col("tile") == F.col("tile_b"))
     # Spark bounds the bytes of a batch, and a row, which is two tiles, is worked off alone
-    found = stash(pairs.select("same", "ids_a", "counts_a", "vectors_a", "ids_b", "counts_b", "vectors_b").mapInArrow(_compare(axes, threshold), "a long, b long, n long"), "found")
-
-    others = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("others"))
-    reached = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "vec_id")
-    whole = classes.select("vec_id", "n", "label", "embedding").join(others, "vec_id", "left").join(reached, "vec_id", "left")
-    of_class = whole.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "vec_id").alias("component"))
+    found = stash(pairs.select("same", "tile", "counts_a", "vectors_a", "tile_b", "counts_b", "vectors_b").mapInArrow(_compare(axes, threshold), "a long, b long, n long"), "found")
+
+    others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    reached = components(found.where("b is not null").select("a", "b"))
+    each = tiles.select("tile", "label", F.posexplode(F.arrays_zip("ids", "counts", "vectors")).alias("place", "m")).select((F.col("tile") + F.col("place")).alias("node"), "label", F.col("m.ids").alias("vec_id"), F.col("m.counts").alias("n"), F.col("m.vectors").alias("embedding"))
+    whole = each.join(others, "node", "left").join(reached, "node", "left")
+    whole = stash(whole.select("label", "embedding", "vec_id", "component", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links")), "linked")
+    # a component's number is a vector's; what is asked for is the smallest id in it
+    named = whole.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("name"))
+    of_class = whole.join(named, "component", "left").select("label", "embedding", "links", F.coalesce("name", "vec_id").alias("name"))
+    forget(found)
+    forget(tiles)
+    forget(placed)
     joined = rows.join(of_class, ["label", "embedding"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("name", "vec_id")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
