@@ -1,14 +1,16 @@
 """Removal of word windows that a document with a smaller id has already.
 
-Level-wise doubling. Windows of half the length (7 words for a window of 13) are looked for first; only where one occurs in
-two documents is it extended, to the 19 words that all full windows over it cover together. Where those repeat too, all
-these windows are settled at once, which is the case all through a long passage. Only where a half window has several
-extensions, at the ends of passages, are the full windows themselves compared. Nothing longer than that is needed: a longer
-repeat consists of repeated full windows.
-
-The first level needn't index every half window. In each full window the half window of the least hash is its anchor.
-Anchors depend on the words alone, so equal full windows have equal anchors, and a quarter of the positions is enough.
-What is decided is decided by 128 bits of hash.
+Level-wise doubling. Windows of a quarter of the length (4 words for a window of 13) are looked for first. Where one occurs in two
+documents it is extended to twice its length, to the right and to the left (8 words); where such a one does again, once more, to
+all that the full windows over it cover together (18 words). Where those repeat too, all these full windows are settled at
+once, which is the case all through a long passage; so nothing is gained by going on to still longer ones. Only where a window of
+the level before has several extensions, at the ends of passages, are the full windows themselves compared, as the last,
+partial doubling. It ends as soon as no candidate survives a level.
+
+The first level needn't index every window. In each full window the short window of the least hash is its anchor. Anchors depend
+on the words alone, so equal full windows have equal anchors, and a fifth of the positions is enough. Whatever place an anchor
+has in a full window, its extension to one of the two sides is inside it too, so no full window is lost on the way. What is decided
+is decided by 128 bits of hash.
 
 Groups are never gathered: the least id of a window is an aggregate, and the joins back have one row a key on one side, so
 that a hot key is split. Between levels, what is left is written to the shared folder and the shuffle files are freed.
@@ -31,8 +33,10 @@ WINDOW = 13
 TOGETHER = 256
 
 
-def half_of(window: int) -> int:
-    return (window + 1) // 2
+def lengths_of(window: int) -> tuple[int, int]:
+    """Words of an anchor and of its extension."""
+    short = -(-window // 4)
+    return short, min(2 * short, window)
 
 
 def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -48,7 +52,8 @@ class Windows:
     """The words of some documents in one row, and what is asked about their windows."""
 
     def __init__(self, ids: list, bodies: list[bytes], window: int):
-        self.window, self.half = window, half_of(window)
+        self.window = window
+        self.short, self.middle = lengths_of(window)
         self.words, counts = hashed_words(bodies)
         ends = np.cumsum(counts)
         self.doc = np.repeat(np.arange(len(bodies)), counts)
@@ -60,32 +65,43 @@ class Windows:
         if n >= w:
             at = np.arange(n - w + 1)
             self.full = (at + w <= self.end[: n - w + 1]) & known[self.doc[: n - w + 1]]
-        self.h = mixed(rolled(self.words, self.half, BASES[0]))
+        self.h = mixed(rolled(self.words, self.short, BASES[0]))
 
     def anchors(self) -> np.ndarray:
-        """Positions of half windows that are the least of a full window; of equal ones all."""
+        """Positions of short windows that are the least of a full window; of equal ones all."""
         chosen = np.zeros(len(self.h), bool)
         if len(self.full):
-            inside = self.window - self.half + 1
+            inside = self.window - self.short + 1
             least = _sliding_least(self.h, inside)
             for o in range(inside):
                 chosen[o : o + len(least)] |= self.full & (self.h[o : o + len(least)] == least)
         return np.nonzero(chosen)[0]
 
+    def middles(self, at: np.ndarray) -> list[np.ndarray]:
+        """For windows of the middle length: their hashes, the hashes of all that the full windows over them cover, and whether
+        they are inside a document."""
+        h = mixed(rolled(self.words, self.middle, BASES[0]))
+        last = len(h) - 1
+        if last < 0 or not len(at):
+            return [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool)]
+        inside = (at >= 0) & (at <= last)
+        at = np.clip(at, 0, last)
+        inside &= (self.doc[at] == self.doc[at + self.middle - 1])
+        return [h[at], self.around(at), inside]
+
     def around(self, at: np.ndarray) -> np.ndarray:
-        """Hash of all that the full windows over these half windows cover, inside the document."""
-        reach = self.window - self.half
-        first, last = np.maximum(self.begin[at], at - reach), np.minimum(self.end[at], at + self.half + reach)
+        reach = self.window - self.middle
+        first, last = np.maximum(self.begin[at], at - reach), np.minimum(self.end[at], at + self.middle + reach)
         base, back = BASES[1], pow(BASES[1], -1, 1 << 64)
         up, down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(self.words), b, np.uint64)))) for b in (base, back))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * up[:-1], dtype=np.uint64)))
         return mixed((sums[last] - sums[first]) * down[first] + (at - first).astype(np.uint64) * np.uint64(256) + (last - at).astype(np.uint64))
 
     def over(self, places: list[np.ndarray | None]) -> np.ndarray:
-        """Positions of the full windows over the half windows at these places of each document."""
+        """Positions of the full windows over the middle windows at these places of each document."""
         marked = np.zeros(len(self.words) + 1, np.int32)
         firsts = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=len(self.id)))))
-        inside = self.window - self.half + 1
+        inside = self.window - self.middle + 1
         for k, p in enumerate(places):
             if p is not None and len(p):
                 at = firsts[k] + np.unique(p)
@@ -108,20 +124,29 @@ def _long(a: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(window: int, more: bool):
+    """Anchors; with more, their two extensions beside them, null where one would leave its document."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
             w = Windows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window)
             at = w.anchors()
-            columns = [_long(w.h[at]), pa.array(w.id[w.doc[at]])]
+            columns, names = [_long(w.h[at]), pa.array(w.id[w.doc[at]])], ["h", "doc_id"]
             if more:
-                columns += [_long(w.around(at)), pa.array(w.place(at))]
-            yield pa.record_batch(columns, names=["h", "doc_id", "around", "pos"][: len(columns)])
+                columns, names = [*columns, pa.array(w.place(at))], [*names, "pos"]
+                for side, start in (("right", at), ("left", at + w.short - w.middle)):
+                    h, around, inside = w.middles(start)
+                    if side == "left":
+                        # the window to the left begins in the anchor's own document
+                        inside = inside & (start >= w.begin[at]) if len(at) else inside
+                    columns += [pa.array(h.view(np.int64), mask=~inside), pa.array(around.view(np.int64), mask=~inside)]
+                    names += [side, f"{side}_around"]
+            yield pa.record_batch(columns, names=names)
 
     return rows
 
 
 def _full_rows(window: int):
-    """The full windows over the given half windows: two hashes, id and first word of each."""
+    """The full windows over the given middle windows: two hashes, id and first word of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -155,24 +180,43 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     sequence also starts in a document with a smaller id. A range may reach over the ends of its document."""
     texts = id_and_text(docs, id_col, text_col)
     least_most = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]
-    half, reach = half_of(window), window - half_of(window)
-
-    shared = stash(texts.mapInArrow(_anchor_rows(window, False), "h long, doc_id long").groupBy("h").agg(*least_most).where("least < most").select("h"), "halves")
-    found = stash(texts.mapInArrow(_anchor_rows(window, True), "h long, doc_id long, around long, pos int").join(shared, "h"), "anchors")
+    short, middle = lengths_of(window)
+    reach = window - middle
+    repeated = lambda windows: windows.groupBy("h").agg(*least_most).where("least < most").select("h")
+    nothing = docs.sparkSession.createDataFrame([], "doc_id long, ranges array<struct<first: int, last: int>>")
+
+    # first level: short windows; those that survive come with their extensions
+    shared = stash(repeated(texts.mapInArrow(_anchor_rows(window, False), "h long, doc_id long")), "short")
+    if shared.isEmpty():
+        return nothing
+    extended = texts.mapInArrow(_anchor_rows(window, True), "h long, doc_id long, pos int, right long, right_around long, left long, left_around long")
+    alive = stash(extended.join(shared, "h").drop("h"), "anchors")
     forget(shared)
 
+    # second level: twice as long, to both sides
+    sides = F.array(F.struct(F.col("right").alias("h"), F.col("right_around").alias("around"), "pos"), F.struct(F.col("left").alias("h"), F.col("left_around").alias("around"), (F.col("pos") + short - middle).alias("pos")))
+    doubled = alive.select("doc_id", F.explode(sides).alias("w")).select("doc_id", "w.*").where("h is not null")
+    found = stash(doubled.join(repeated(doubled), "h"), "doubled")
+    forget(alive)
+    if found.isEmpty():
+        return nothing
+
+    # third level: twice as long and more, which settles all full windows inside
     first = stash(found.groupBy("h", "around").agg(*least_most), "first")
-    settled = stash(found.join(first.where("least < most"), ["h", "around"]).where("least < doc_id").select("doc_id", (F.col("pos") - reach).alias("first"), (F.col("pos") + half + reach).alias("last")), "settled")
+    settled = stash(found.join(first.where("least < most"), ["h", "around"]).where("least < doc_id").select("doc_id", (F.col("pos") - reach).alias("first"), (F.col("pos") + middle + reach).alias("last")), "settled")
 
-    # an anchor stays open in the first document of each of its extensions, if it has several, in several documents
+    # a window stays open in the first document of each of its extensions, if it has several, in several documents
     several = first.groupBy("h").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("h")
     open_ = first.join(several, "h").select("h", "around", "least")
-    places = stash(found.join(open_, ["h", "around"]).where("doc_id = least").groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "open")
+    places = stash(found.join(open_, ["h", "around"]).where("doc_id = least").groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "open")
     forget(found)
     full = stash(texts.join(places, "doc_id").select("doc_id", "body", "places").mapInArrow(_full_rows(window), "h1 long, h2 long, doc_id long, first int"), "windows")
     earliest = full.groupBy("h1", "h2").agg(*least_most).where("least < most").select("h1", "h2", "least")
     later = full.join(earliest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "first", (F.col("first") + window).alias("last"))
-    return stash(settled.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    ranges = stash(settled.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    for df in (first, settled, places, full):
+        forget(df)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -49,27 +50,46 @@ def test_vector_hashes_follow_words():
     assert rolled(a, 13, 3)[0] == sum(int(x) * 3 ** (12 - k) for k, x in enumerate(a[:13])) % 2**64
 
 
-def test_substring(docs, none):
-    rows = [(i, t) for i, t in corpus()]
+def brute_remove(rows, window):
     first: dict = {}
     for i, t in rows:
         w = WORD.findall(t or "")
-        for p in range(len(w) - 12):
+        for p in range(len(w) - window + 1):
             if i is not None:
-                first[tuple(w[p : p + 13])] = min(i, first.get(tuple(w[p : p + 13]), i))
-    want = []
+                first[tuple(w[p : p + window])] = min(i, first.get(tuple(w[p : p + window]), i))
     for i, t in rows:
         w = WORD.findall(t or "")
         gone = [False] * len(w)
-        for p in range(len(w) - 12):
-            if i is not None and first[tuple(w[p : p + 13])] < i:
-                gone[p : p + 13] = [True] * 13
-        want.append((i, len(w), sum(gone), " ".join(x for x, y in zip(w, gone, strict=True) if not y).encode()))
+        for p in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[p : p + window])] < i:
+                gone[p : p + window] = [True] * window
+        yield i, len(w), sum(gone), " ".join(x for x, y in zip(w, gone, strict=True) if not y).encode()
+
+
+def test_substring(docs, none):
     got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in substring.remove_repeats(docs).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sorted(got, key=repr) == sorted(brute_remove(corpus(), 13), key=repr)
     assert substring.remove_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("window", [13, 5, 1])
+def test_substring_of_many_overlaps(spark, window):
+    """Few words, so that windows of every level repeat, at the ends of texts too; passages of 12 to 30 words with other neighbours."""
+    rng = random.Random(window)
+    passages = [[f"p{rng.randrange(30)}" for _ in range(n)] for n in (window - 1, window, window + 1, 20, 30)]
+    rows = []
+    for k in range(120):
+        w = []
+        for _ in range(rng.randrange(6)):
+            p = rng.choice(passages)
+            w += [f"q{rng.randrange(4)}" for _ in range(rng.randrange(4))] + p[rng.randrange(2) : len(p) - rng.randrange(2)]
+        rows.append((rng.randrange(100) if k % 3 else k, " ".join(w)))
+    rows = list(dict(rows).items())
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in substring.remove_repeats(table, window).collect()]
+    assert sorted(got) == sorted(brute_remove(rows, window))
+
+
 def brute_fingerprint(text):
     import xxhash
 
@@ -103,6 +123,17 @@ def test_simhash(docs, none, paired, monkeypatch):
         assert simhash.near_duplicates(none).collect() == []
 
 
+def test_near_copies_go_by_row(spark):
+    """One row of each group stays, also where texts share a doc_id, rows are repeated, or columns clash."""
+    t, u, v = "one two three four five", "six seven eight nine ten", "eleven twelve thirteen"
+    rows = [(3, t, "a"), (5, u, "b"), (5, t, "c"), (7, u, "d"), (8, v, "e"), (8, v, "f"), (8, v, "f"), (None, t, "g"), (9, "", "h"), (10, None, "i")]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, row string, h1 long, own long, n long").repartition(3)
+    out = simhash.without_near_copies(table)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert out.columns == table.columns and got == sorted([(3, t), (5, u), (8, v), (9, ""), (None, t)], key=repr)
+    assert simhash.without_near_copies(table.limit(0)).collect() == []
+
+
 def test_simhash_random_pairs(spark):
     """Close pairs on all bits, also where two links chain."""
     rng = random.Random(1)
@@ -116,19 +147,40 @@ def test_simhash_random_pairs(spark):
     assert found == {(min(a, b), max(a, b)) for a in values for b in values if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
-def expected_ids(name, text):
+@lru_cache
+def library(name):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokens.vocabulary(name))
     model.encode_special_tokens = True
-    return model.encode(text or "", add_special_tokens=False).ids
+    return model
+
+
+def expected_ids(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cached_ids_are_the_ids(name):
-    odd = ["", " ", "  a", "a  b", "a \n b\n\n c", "x<|endoftext|>y z", "a　 b c\x1c d", "it's don't 'S", "ÉCOLE Σας ΣΑΣ İ x", "á é", "🙂 🙂🙂  ", "\0 a\0b c", "a. b, c.. d., é. 中. 1.", ".", ", ", " end "]
+def test_cached_ids_are_the_ids(name, monkeypatch):
+    odd = ["", " ", "  a", "a  b", "a \n b\n\n c", "x<|endoftext|>y z", "a　 b c\x1c d", "it's don't 'S", "ÉCOLE Σας ΣΑΣ İ x", "á é", "🙂 🙂🙂  ", "\0 a\0b c", "a. b, c.. d., é. 中. 1.", ".", ", ", " end ", "a.\nB.\n", "\na", "a\n b", "a ", " |", "b!!c &&& d%%%\nE", "7 8 77 a7b", "ÿ×÷ßÀ µª", "é" * 11 + " " + "x" * 23 + " " + "x" * 24, "x́ éa a ́"]
     odd += [t for _, t in corpus() if t]
-    assert tokens.Encoder(name).encode(odd) == [np.array(expected_ids(name, t), "<u4").tobytes() for t in odd]
+    rng = random.Random(11)
+    odd += ["".join(rng.choice(["a", "Bc", "é", "Ü", " ", " ", "\n", ".", ",", "!", "'", "s", "3", "\t", "中", "\xa0", "<", "|", "7", "ab" * 9]) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    want = [expected_ids(name, t) for t in odd]
+    for words, together in ((tokens.WORDS, tokens.TOGETHER), (4000, 500)):  # also where words must go again, and long texts are cut
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        model = tokens.Encoder(name, words)
+        for _ in range(2):
+            ids, bounds = model.encode([t.encode() for t in odd])
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+
+
+def test_words_go_when_the_table_is_full():
+    model = tokens.Encoder("byte_bpe_50k.json", 64)
+    for k in range(40):
+        text = " ".join("".join(chr(97 + (k * 7 + j) // 26**i % 26) for i in range(4)) for j in range(20)) + " the the of"
+        ids, _ = model.encode([text.encode()])
+        assert ids.tolist() == expected_ids("byte_bpe_50k.json", text) and model.table.entries <= 64
 
 
 def test_packing(docs, none):
@@ -183,6 +235,15 @@ def test_token_files(spark, docs, none):
     assert token_files.read_tokens(spark, empty).collect() == []
 
 
+def test_token_files_of_a_large_vocabulary(spark, monkeypatch):
+    """Ids beyond 16 bits come back as they are."""
+    monkeypatch.setattr(token_files, "vocabulary_size", lambda name: 100_000)
+    path = new_path(spark, "test-tokens")
+    token_files.write_tokens(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"), path, end_id=70_000)
+    got = {r.doc_id: r.ids for r in token_files.read_tokens(spark, path).collect()}
+    assert got == {1: [*expected_ids("word_bpe_49k.json", "one two"), 70_000], 2: [70_000]}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -229,6 +290,24 @@ def test_pii_contexts_find_what_patterns_miss(spark):
     assert masked[8] == "please call me [phone] today" and masked[0] == "please call me [phone] today" and masked[30] is None and masked[31] == ""
 
 
+def test_pii_context_words_may_be_long_or_before_another_match(spark):
+    """The words before a match are whole whatever their length, and are looked for across the match before it."""
+    long = "w" * 100
+    texts = [(1, f"{long} reach +1 743 555 1000"), (2, "mail to a@b.c or d@e.f now"), (3, "a@b.c d@e.f"), (4, "x@y.z")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    split = lambda kind: {(r.doc_id, r.value): r.context for r in pii._split(pii._rows(rows, "doc_id", "text"), kind, pii.PATTERNS[kind]).withColumn("context", pii._context(F.col("before"))).collect()}
+    assert split("phone") == {(1, "+1 743 555 1000"): f"{long} reach"}
+    assert split("email") == {(2, "a@b.c"): "mail to", (2, "d@e.f"): "a b c or", (3, "a@b.c"): None, (3, "d@e.f"): "a b c", (4, "x@y.z"): None}
+
+
+def test_pii_takes_any_column_names(spark):
+    schema = "doc_id long, text string, all string, row_id string, kind string, start int, `end` int, found string, __row string, h1 long"
+    rows = spark.createDataFrame([(1, "to a@b.c now", "x", "y", "z", 1, 2, "w", "v", 3), (None, None, "x", None, "z", 1, 2, "w", "v", 3), (1, "to a@b.c now", "x", "y", "z", 1, 2, "w", "v", 3)], schema)
+    out = pii.masked(rows)
+    assert out.columns == rows.columns and sorted((r.text or "", r["all"], r["end"]) for r in out.collect()) == [("", "x", 2), ("to [email] now", "x", 2), ("to [email] now", "x", 2)]
+    assert len(pii.per_document(rows).collect()) == 3 and pii.masked(rows.limit(0)).collect() == []
+
+
 def test_pii_repeated_rows(spark):
     text = "mail a.b@c.example, or call +1 743 555 3824 or d@e.example now"
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, text), (None, text)], "doc_id long, text string").repartition(3)
@@ -238,23 +317,36 @@ def test_pii_repeated_rows(spark):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "user", "hi </s>[INST]"), (1, 1, "assistant", "\\[INST] \\\\ [/INST]</s> é🙂"), (1, 2, "assistant", ""), (1, 3, "user", None), (1, 4, "assistant", "end"), (2, 1, None, "b"), (2, 0, "system", "a"), (2, None, "assistant", "null first"), (3, 0, "assistant", "x " * 20_000), (None, 0, "assistant", "no id"), (4, 0, "user", "tie"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie")]
-    rows = spark.createDataFrame([(*t, 1, "z") for t in turns], "conv_id long, turn long, role string, text string, segment int, formatted string")
+    turns = [(1, 0, "user", "hi </s>[INST]"), (1, 1, "assistant", "\\[INST] \\\\ [/INST]</s> é🙂"), (1, 2, "assistant", ""), (1, 3, "user", None), (1, 4, "assistant", "end"), (2, 1, None, "b"), (2, 0, "system", "a"), (2, None, "assistant", "null first"), (3, 0, "assistant", "x " * 20_000), (4, 0, "user", "tie"), (4, 0, "assistant", "tie"), (4, 0, "assistant", "tie"), (5, 0, "assistant", "y" * 30_000), (5, 1, "user", "\\ a \\ b </s> </s> [INST] c")]
+    alone = [(None, 0, "assistant", "no id"), (None, 0, "assistant", "no id"), (None, 1, "user", "nor this one")]
+    rows = spark.createDataFrame([(*t, 1, "z") for t in turns + alone], "conv_id long, turn long, role string, text string, segment int, alone string")
     plan = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    for size in (chat.SEGMENT_CHARS, 5):  # in one segment and in many
+    by: dict = defaultdict(list)
+    for c, t, r, x in turns:
+        by[c].append((-1 if t is None else t, r or "", x or ""))
+    by = {c: [v] for c, v in by.items()} | {None: [[(t, r, x)] for _, t, r, x in alone]}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for size in (chat.SEGMENT_CHARS, 5, 40):  # in one segment and in many
         out = chat.format_conversations(rows, segment_chars=size)
-        got = {r.conv_id: r for r in out.select("conv_id", "formatted", "loss_spans").mapInArrow(chat._digest, plan).collect()}
-        by: dict = defaultdict(list)
-        for c, t, r, x in turns:
-            by[c].append((-1 if t is None else t, r or "", x or ""))
-        assert set(got) == set(by)
-        for c, v in by.items():
-            v.sort()
-            loss = "".join(x for _, r, x in v if r == "assistant")
-            assert (got[c].n_turns, got[c].turns_sha256) == (len(v), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in v).encode()).hexdigest())
-            assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        for r in out.collect():
-            assert len(r.ids) == len(r.in_loss)
+        got = sorted(map(tuple, out.select("conv_id", "segment", "formatted", "loss_spans").mapInArrow(chat._digest, plan).collect()), key=repr)
+        want, whole = [], []
+        for c, conversations in by.items():
+            for v in map(sorted, conversations):
+                loss = "".join(x for _, r, x in v if r == "assistant")
+                formatted, spans = chat.render([(r, x) for _, r, x in v])
+                want.append((c, len(v), digest("".join(f"{r}\n{x}\n" for _, r, x in v)), len(loss), digest(loss), len(formatted)))
+                encoded = library("byte_bpe_50k.json").encode(formatted, add_special_tokens=False)
+                whole.append((c, formatted, encoded.ids, chat.mask(spans, encoded.offsets)[0]))
+        assert got == sorted(want, key=repr)
+        # joined, the segments are the conversation encoded once
+        segments, joined = out.collect(), []
+        for r in segments:
+            if not r.segment:
+                joined.append([r.conv_id, "", [], []])
+            for k, part in enumerate((r.formatted, r.ids, r.in_loss), 1):
+                joined[-1][k] += part
+        assert sorted(map(tuple, joined), key=repr) == sorted(whole, key=repr)
+        assert size > 40 or len(segments) > len(joined)
     assert chat.format_conversations(rows.limit(0)).collect() == []
 
 
@@ -269,8 +361,10 @@ def test_embeddings(spark, tile):
     centre = rng.normal(size=(6, 16))
     rows = [(k, (centre[k % 6] + rng.normal(size=16) * 0.12).astype(np.float32).tolist(), int(k % 2)) for k in range(60)]
     rows += [(100, rows[0][1], 0), (100, rows[0][1], 0), (101, [2 * x for x in rows[0][1]], 0), (102, rows[0][1], 1), (103, rows[0][1], None), (104, None, 0), (105, [0.0] * 16, 0), (106, [float("nan")] * 16, 0), (107, [None] + [1.0] * 15, 0), (108, [float("inf")] * 16, 0), (109, [1.0, 2.0], 0), (110, [], 0), (111, [1e30] * 16, 0), (112, [1e-30] * 16, 0)]
+    # ids that are null, or that different vectors share
+    rows += [(None, rows[2][1], 0), (None, [-x for x in rows[0][1]], 0), (None, [-x for x in rows[0][1]], 0), (7, rows[1][1], 1), (7, [-x for x in rows[1][1]], 1)]
     table = spark.createDataFrame([(*r, 7, "q") for r in rows], "vec_id long, embedding array<float>, label int, n int, tile string")
-    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(table, tile=tile).collect())
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(table, tile=tile).collect()), key=repr)
     unit = []
     for _, v, label in rows:
         ok = label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
@@ -282,8 +376,8 @@ def test_embeddings(spark, tile):
         for a in range(n):
             for b in range(n):
                 if link[a][b]:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-    assert got == sorted((rows[a][0], sum(link[a]), comp[a], comp[a] == rows[a][0]) for a in range(n))
+                    comp[a] = comp[b] = min((c for c in (comp[a], comp[b]) if c is not None), default=None)
+    assert got == sorted(((rows[a][0], sum(link[a]), comp[a], comp[a] == rows[a][0] if rows[a][0] is not None else comp[a] is None) for a in range(n)), key=repr)
     assert embedding.near_vectors(table.limit(0)).collect() == []
 
 
@@ -322,6 +416,23 @@ def test_url_filter(spark):
     assert urlfilter.judge(table.limit(0)).collect() == []
 
 
+def test_url_filter_with_a_long_list(spark, monkeypatch):
+    """A list of 100,000 hosts, in one cascade and in several, against plain membership."""
+    rng = random.Random(9)
+    names = [f"h{k}.{rng.choice(['shop', 'news'])}.example" for k in range(99_996)] + ["Top.Example", "com.", "x" * 300 + ".org", None, "", "h1.news.example"]
+    have = {re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in names if x}
+    hosts = [f"{rng.choice(['', 'www.', 'a.b.'])}h{rng.randrange(200_000)}.{rng.choice(['shop', 'news'])}.example" for _ in range(3000)]
+    hosts += ["top.example", "x.top.example", "stop.example", "example", "", "a." + "x" * 300 + ".org", "a" + "x" * 300 + ".org", "a." * 5000 + "top.example", ".top.example", "com.", "com"]
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)], "page_id long, url string")
+    listed = spark.createDataFrame([(x, 1) for x in names], "host string, key int")
+    want = {k: any(".".join(h.split(".")[j:]) in have for j in range(h.count(".") + 1)) for k, h in enumerate(hosts)}
+    assert 500 < sum(want.values()) < 3000
+    for size in (urlfilter.CASCADE_BYTES, 8_000):
+        monkeypatch.setattr(urlfilter, "CASCADE_BYTES", size)
+        got = urlfilter.judge(pages, (), listed).collect()
+        assert {r.page_id: r.listed for r in got} == want and len(got) == len(hosts) and {r.verdict for r in got if r.listed} == {"block"}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [(f"host{k}.example", k % 9 == 0) for k in range(3000)]
     cascade = urlfilter.build_cascade(spark.createDataFrame(keys, "key string, listed boolean"))
@@ -361,6 +472,23 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_items_in_blocks(spark, monkeypatch):
+    """A benchmark of several blocks finds what one block finds; each block is written before the next."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = [words(20) for _ in range(9)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    texts = [(k, " ".join(words(30) + items[k % 9] + words(5))) for k in range(9)] + [(20, " ".join(words(80))), (21, " ".join(words(70_000) + items[4])), (None, " ".join(items[1])), (3, None)]
+    table = spark.createDataFrame(texts * 2, "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminated(table, bench).collect()), key=repr)
+    clean = sorted(map(tuple, decontaminate.without_items(table, bench).collect()), key=repr)
+    assert {x[:2] for x in one} == {(k, k) for k in range(9)} | {(21, 4), (None, 1)} and len(one) == 22 and {r[0] for r in clean} == {20, 3} and len(clean) == 4
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_WORDS", 45)
+    assert [len(items) for items, _ in decontaminate.item_blocks(bench)] == [2, 2, 2, 2, 1]
+    assert sorted(map(tuple, decontaminate.contaminated(table, bench).collect()), key=repr) == one
+    assert sorted(map(tuple, decontaminate.without_items(table, bench).collect()), key=repr) == clean
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = random.Random(4)
     index = decontaminate.ItemIndex([(k, " ".join(f"a{rng.randrange(99)}" for _ in range(12))) for k in range(50)])
@@ -419,6 +547,51 @@ def test_toxicity_is_calibrated_outside_the_sample(spark):
     assert set(model.thresholds) == {"en", "de"} and all(t != toxicity.THRESHOLD for t in model.thresholds.values())
 
 
+def brute_logit(model, ids):
+    """The convolution written out: every window, filter and place of its own."""
+    over, at, best = max(toxicity.WIDTHS) - 1, 0, []
+    rows = [sum(model.table[w].astype(float) for w in word) for word in ids]
+    if len(ids) == over:
+        return model.constant
+    for k in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best.append(max(sum(rows[p + o][at + o * toxicity.FILTERS + f] for o in range(k)) for p in range(len(rows) - k + 1)))
+        at += k * toxicity.FILTERS
+    return model.constant + sum(max(0.0, x + b) * w for x, b, w in zip(best, model.bias, model.weights, strict=True))
+
+
+def test_convolution_equals_brute_force():
+    rng = np.random.default_rng(2)
+    columns = sum(toxicity.WIDTHS) * toxicity.FILTERS
+    model = toxicity.Model(rng.normal(0, 0.3, (toxicity.BUCKETS, columns)).astype(np.float32), rng.normal(0, 0.2, 24), rng.normal(0, 1, 24), 0.25)
+    model.table[0] = 0
+    texts = ["", None, "one", "one two", "Gone, gone; gone!", " ".join(f"w{k % 50}" for k in range(400)), "é " * 30]
+    for ids in toxicity.rows_of(texts):
+        assert abs(model.logit(ids) - brute_logit(model, ids)) < 1e-4
+    # longer than the stretches that are worked off together
+    (ids,) = toxicity.rows_of([" ".join(f"w{k}" for k in range(40_000))])
+    assert abs(model.logit(ids) - brute_logit(model, ids)) < 1e-3
+
+
+def test_toxicity_sample_is_bounded_also_where_rows_repeat(spark):
+    rows = [(k, ("vile " if k % 4 == 0 else "calm ") * 20, "en") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    repeated = spark.createDataFrame([r for r in rows for _ in range(3)] + [(4, "vile " * 50_000, "en")], "doc_id long, text string, lang string")
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda train: seen.append(train) or fit(train)
+        model = toxicity.train(repeated, labels, {1: 20, 0: 20}, sample_chars=2000)
+        toxicity.train(repeated, labels, {1: 20, 0: 20})
+    finally:
+        toxicity.fit = fit
+    assert sum(len(ids) - 2 for ids, _ in seen[0]) <= 400 and len(seen[1]) <= 40
+    assert len(toxicity.toxicity(repeated, model).collect()) == 601
+    clash = spark.createDataFrame([(1, "calm", "en", 1, 2), (1, "calm", "en", 1, 2), (None, None, None, None, None)], "doc_id long, text string, lang string, score int, h int")
+    out = toxicity.without_toxic(clash, model)
+    assert out.columns == clash.columns and out.count() == 3 and toxicity.without_toxic(clash.limit(0), model).count() == 0
+
+
 def test_toxicity_calibration_counts_every_row_outside_the_fit(spark, monkeypatch):
     rows = [(k, "vile word" if k % 8 == 0 else "calm word", "en") for k in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
