@@ -231,7 +231,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     forget(placed)
     joined = rows.join(of_class, ["label", "embedding"], "left")
     component = F.coalesce("name", "vec_id")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
