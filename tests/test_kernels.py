@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import brute
+from meshloom.operators import graph as G
 from meshloom.operators import kernels as K
 from meshloom.operators import partition as P
 from meshloom.plans import queries as Q
@@ -64,6 +65,30 @@ def test_relaxation_of_random_graphs():
     assert len(lengths) > 1
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_components_of_random_graphs(spark, parts):
+    """Contracted in one part, and in several whose roots are linked by rounds; ids without an order, loops and repeats."""
+    rows, want = [], {}
+    for m, (n, edges, _, rng) in enumerate(graphs()):
+        name = rng.sample(range(10_000), n)
+        rows += [(m, name[a], name[b]) for a, b, _ in edges] + [(m, name[0], name[0])]
+        root = brute.islands(n, edges, [0] * n)
+        want |= {(m, name[f]): min(name[g] for g in range(n) if root[g] == root[f]) for f in range(n)}
+    edges, nodes = spark.createDataFrame(rows, "mesh_id long, a long, b long"), spark.createDataFrame(list(want), "mesh_id long, node long")
+    settings = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = {(r.mesh_id, r.node): r.root for r in G.components(nodes, edges).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == want
+    path = np.random.default_rng(1).permutation(3000)
+    assert set(G.roots_of(path[:-1], path[1:], 3000).tolist()) == {0}
+
+
 def random_mesh(seed):
     rng = np.random.default_rng(seed)
     n = 4
