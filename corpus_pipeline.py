@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm import decontaminate, packing, pii, simhash, toxicity
-from meshloom.llm.common import read_table, stash
+from meshloom.llm.common import forget, read_table, stash, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts becomes [kind], and n_chars follows the new text."""
-    changed = pii.masked(docs.withColumn("__old", F.xxhash64("text")))
-    return changed.withColumn("n_chars", F.when(F.xxhash64("text") == F.col("__old"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    (old,) = unused(docs.columns, "old")
+    changed = pii.masked(docs.withColumn(old, F.xxhash64("text")))
+    return changed.withColumn("n_chars", F.when(F.xxhash64("text") == F.col(old), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

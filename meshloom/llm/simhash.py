@@ -122,14 +122,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _grouped(fps: DataFrame) -> DataFrame:
-    """fps, stashed, with doc_id and fp -> + component_id."""
+    """fps, stashed, with doc_id and fp -> + component (a fingerprint of the group, its number) and component_id."""
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
     reached = components(edges := stash(links(classes.select("fp")), "links"))
     forget(edges)
     # the component's name is a fingerprint; what is asked for is the smallest doc_id of its classes
     named = reached.join(classes, reached.node == classes.fp).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_fp = stash(reached.join(named, "component").select(F.col("node").alias("fp"), "component_id"), "of_fp")
-    least = classes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_fp = stash(reached.join(named, "component").select(F.col("node").alias("fp"), "component", "component_id"), "of_fp")
+    least = classes.join(of_fp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return fps.join(least, "fp")
 
 
@@ -144,7 +144,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.withColumns({own: F.col(id_col).cast("long"), h1: F.xxhash64(text), h2: F.xxhash64(text, F.lit(1))})
     bodies = keyed.select(F.col(own).alias("doc_id"), F.encode(text, "UTF-8").alias("body"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))
     fps = stash(bodies.mapInArrow(_fingerprints, "doc_id long, fp long, h1 long, h2 long"), "fps")
-    first = _grouped(fps).where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.count("*").alias("n"))
+    first = _grouped(fps).where("doc_id = component_id").groupBy("component", "component_id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.count("*").alias("n"))
     stays = stash(first.select(F.col("component_id").alias(own), F.col("h.h1").alias(h1), F.col("h.h2").alias(h2), "n"), "stays")
     # what stays grows with the documents, so it is never broadcast, however small it may be here
     kept = keyed.join(stays.drop("n").hint("merge"), [own, h1, h2], "left_semi")
