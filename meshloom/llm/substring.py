@@ -1,10 +1,10 @@
 """Removal of word windows that a document with a smaller id has already.
 
 Level-wise doubling. Windows of a quarter of the length (4 words for a window of 13) are looked for first. Where one occurs in two
-documents it is extended to twice its length, to the right and to the left (8 words); where such a one does again, once more, to
-all that the full windows over it cover together (18 words). Where those repeat too, all these full windows are settled at
-once, which is the case all through a long passage; so nothing is gained by going on to still longer ones. Only where a window of
-the level before has several extensions, at the ends of passages, are the full windows themselves compared, as the last,
+documents it is extended to twice its length, to the right and to the left (8 words); where one of these does again, once more, to
+all that the full windows over the first one cover together (22 words). Where those repeat too, all these full windows are settled
+at once, which is the case all through a long passage; so nothing is gained by going on to still longer ones. Only where a window
+of the level before has several extensions, at the ends of passages, are the full windows themselves compared, as the last,
 partial doubling. It ends as soon as no candidate survives a level.
 
 The first level needn't index every window. In each full window the short window of the least hash is its anchor. Anchors depend
@@ -78,20 +78,19 @@ class Windows:
         return np.nonzero(chosen)[0]
 
     def middles(self, at: np.ndarray) -> list[np.ndarray]:
-        """For windows of the middle length: their hashes, the hashes of all that the full windows over them cover, and whether
-        they are inside a document."""
+        """For windows of the middle length: their hashes, and whether they are inside a document."""
         h = mixed(rolled(self.words, self.middle, BASES[0]))
         last = len(h) - 1
         if last < 0 or not len(at):
-            return [np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), np.zeros(len(at), bool)]
+            return [np.zeros(len(at), np.uint64), np.zeros(len(at), bool)]
         inside = (at >= 0) & (at <= last)
         at = np.clip(at, 0, last)
-        inside &= (self.doc[at] == self.doc[at + self.middle - 1])
-        return [h[at], self.around(at), inside]
+        inside &= self.doc[at] == self.doc[at + self.middle - 1]
+        return [h[at], inside]
 
     def around(self, at: np.ndarray) -> np.ndarray:
-        reach = self.window - self.middle
-        first, last = np.maximum(self.begin[at], at - reach), np.minimum(self.end[at], at + self.middle + reach)
+        """Hash of all that the full windows over these anchors cover, inside the document."""
+        first, last = np.maximum(self.begin[at], at - (self.window - self.short)), np.minimum(self.end[at], at + self.window)
         base, back = BASES[1], pow(BASES[1], -1, 1 << 64)
         up, down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(self.words), b, np.uint64)))) for b in (base, back))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * up[:-1], dtype=np.uint64)))
@@ -124,7 +123,7 @@ def _long(a: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(window: int, more: bool):
-    """Anchors; with more, their two extensions beside them, null where one would leave its document."""
+    """Anchors; with more, what is around them and their two extensions, null where one would leave its document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -132,14 +131,13 @@ def _anchor_rows(window: int, more: bool):
             at = w.anchors()
             columns, names = [_long(w.h[at]), pa.array(w.id[w.doc[at]])], ["h", "doc_id"]
             if more:
-                columns, names = [*columns, pa.array(w.place(at))], [*names, "pos"]
+                columns, names = [*columns, pa.array(w.place(at)), _long(w.around(at))], [*names, "pos", "around"]
                 for side, start in (("right", at), ("left", at + w.short - w.middle)):
-                    h, around, inside = w.middles(start)
+                    h, inside = w.middles(start)
                     if side == "left":
                         # the window to the left begins in the anchor's own document
                         inside = inside & (start >= w.begin[at]) if len(at) else inside
-                    columns += [pa.array(h.view(np.int64), mask=~inside), pa.array(around.view(np.int64), mask=~inside)]
-                    names += [side, f"{side}_around"]
+                    columns, names = [*columns, pa.array(h.view(np.int64), mask=~inside)], [*names, side]
             yield pa.record_batch(columns, names=names)
 
     return rows
@@ -181,7 +179,6 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     texts = id_and_text(docs, id_col, text_col)
     least_most = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]
     short, middle = lengths_of(window)
-    reach = window - middle
     repeated = lambda windows: windows.groupBy("h").agg(*least_most).where("least < most").select("h")
     nothing = docs.sparkSession.createDataFrame([], "doc_id long, ranges array<struct<first: int, last: int>>")
 
@@ -189,21 +186,25 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     shared = stash(repeated(texts.mapInArrow(_anchor_rows(window, False), "h long, doc_id long")), "short")
     if shared.isEmpty():
         return nothing
-    extended = texts.mapInArrow(_anchor_rows(window, True), "h long, doc_id long, pos int, right long, right_around long, left long, left_around long")
+    extended = texts.mapInArrow(_anchor_rows(window, True), "h long, doc_id long, pos int, around long, right long, left long")
     alive = stash(extended.join(shared, "h").drop("h"), "anchors")
     forget(shared)
 
-    # second level: twice as long, to both sides
-    sides = F.array(F.struct(F.col("right").alias("h"), F.col("right_around").alias("around"), "pos"), F.struct(F.col("left").alias("h"), F.col("left_around").alias("around"), (F.col("pos") + short - middle).alias("pos")))
-    doubled = alive.select("doc_id", F.explode(sides).alias("w")).select("doc_id", "w.*").where("h is not null")
-    found = stash(doubled.join(repeated(doubled), "h"), "doubled")
+    # second level: twice as long, to both sides; the anchor begins `lead` words after it
+    sides = F.array(F.struct(F.col("right").alias("h"), "pos", F.lit(0).cast("byte").alias("lead")), F.struct(F.col("left").alias("h"), (F.col("pos") + short - middle).alias("pos"), F.lit(middle - short).cast("byte").alias("lead")))
+    doubled = alive.select("doc_id", "around", F.explode(sides).alias("w")).select("doc_id", "around", "w.*").where("h is not null")
+    # written first, so that a join has a plain exchange on both sides, which can be split where a key is hot
+    shared = stash(repeated(doubled), "middle")
+    found = stash(doubled.join(shared, "h"), "doubled")
     forget(alive)
+    forget(shared)
     if found.isEmpty():
         return nothing
 
-    # third level: twice as long and more, which settles all full windows inside
+    # third level: more than twice as long, all full windows over the anchor, which settles them at once
     first = stash(found.groupBy("h", "around").agg(*least_most), "first")
-    settled = stash(found.join(first.where("least < most"), ["h", "around"]).where("least < doc_id").select("doc_id", (F.col("pos") - reach).alias("first"), (F.col("pos") + middle + reach).alias("last")), "settled")
+    begin = F.col("pos") + F.col("lead") - (window - short)
+    settled = stash(found.join(first.where("least < most"), ["h", "around"]).where("least < doc_id").select("doc_id", begin.alias("first"), (begin + 2 * window - short).alias("last")), "settled")
 
     # a window stays open in the first document of each of its extensions, if it has several, in several documents
     several = first.groupBy("h").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("h")
@@ -213,7 +214,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     full = stash(texts.join(places, "doc_id").select("doc_id", "body", "places").mapInArrow(_full_rows(window), "h1 long, h2 long, doc_id long, first int"), "windows")
     earliest = full.groupBy("h1", "h2").agg(*least_most).where("least < most").select("h1", "h2", "least")
     later = full.join(earliest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "first", (F.col("first") + window).alias("last"))
-    ranges = stash(settled.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    ranges = stash(settled.union(later).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
     for df in (first, settled, places, full):
         forget(df)
     return ranges
