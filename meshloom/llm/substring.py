@@ -23,14 +23,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASES, forget, hashed_words, id_and_text, mixed, read_table, rolled, stash
 
 WINDOW = 13
-#: Documents that are hashed together.
-TOGETHER = 256
+#: Documents that are hashed together at most, and the bytes from which on no further one is added.
+TOGETHER, TOGETHER_BYTES = 256, 1 << 20
 
 
 def lengths_of(window: int) -> tuple[int, int]:
@@ -114,8 +115,12 @@ class Windows:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, TOGETHER):
-            yield whole.slice(at, TOGETHER)
+        ends, at = np.cumsum(pc.binary_length(whole.column(1)).to_numpy()), 0
+        while at < whole.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_BYTES)) + 1
+            stop = min(at + TOGETHER, full, whole.num_rows)
+            yield whole.slice(at, stop - at)
+            at = stop
 
 
 def _long(a: np.ndarray) -> pa.Array:
@@ -214,7 +219,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     full = stash(texts.join(places, "doc_id").select("doc_id", "body", "places").mapInArrow(_full_rows(window), "h1 long, h2 long, doc_id long, first int"), "windows")
     earliest = full.groupBy("h1", "h2").agg(*least_most).where("least < most").select("h1", "h2", "least")
     later = full.join(earliest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "first", (F.col("first") + window).alias("last"))
-    ranges = stash(settled.union(later).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    ranges = stash(settled.union(later).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
     for df in (first, settled, places, full):
         forget(df)
     return ranges
