@@ -10,26 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm import decontaminate, packing, pii, simhash, toxicity
-from meshloom.llm.common import forget, read_table, stash, unused
+from meshloom.llm.common import bound_batches, forget, read_table, stash, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at or above the threshold of their language go; the classifier learns from the labels it may see."""
+    bound_batches(spark)
     return toxicity.without_toxic(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    bound_batches(spark)
     return simhash.without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bound_batches(spark)
     return decontaminate.without_items(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts becomes [kind], and n_chars follows the new text."""
+    bound_batches(spark)
     (old,) = unused(docs.columns, "old")
     changed = pii.masked(docs.withColumn(old, F.xxhash64("text")))
     return changed.withColumn("n_chars", F.when(F.xxhash64("text") == F.col(old), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
@@ -37,6 +41,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
+    bound_batches(spark)
     return packing.pieces(docs)
 
 

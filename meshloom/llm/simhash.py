@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import forget, id_and_text, stash, unused
 from .components import components
 
@@ -51,6 +52,7 @@ def fingerprint(body: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.release()
     for batch in batches:
         found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
         names = batch.schema.names

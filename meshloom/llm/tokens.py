@@ -10,6 +10,8 @@ Parts with anything else in them go to the library as they are, or to a dictiona
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from functools import lru_cache
@@ -340,3 +342,13 @@ def encoder(name: str) -> Encoder:
     if name not in _encoders:
         _encoders[name] = Encoder(name)
     return _encoders[name]
+
+
+def release() -> None:
+    """Drop the encoders of this process, which operators that don't encode have no use for, and give their memory back."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import WHITE_SPACE_AND_PUNCTUATION, hashed_words, read_table
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS, STEMS = 1 << 15, 12, 8, (1, 2, 3), (4, 6)
@@ -251,6 +252,7 @@ def outside(texts: DataFrame, usable: DataFrame, model: Model) -> list[tuple[int
 def word_ids(text: Column) -> Column:
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
+        tokens.release()
         return pa.array([x.astype("<i4").tobytes() for k in range(0, len(texts), 256) for x in rows_of(texts.slice(k, 256).to_pylist())], pa.binary())
 
     return ids(text)
@@ -271,6 +273,7 @@ def _each(spark: SparkSession, model: Model, what: Callable[[Model, np.ndarray],
 
     @F.arrow_udf("double")
     def each(texts: pa.Array) -> pa.Array:
+        tokens.release()
         return pa.array([what(held.value, x) for k in range(0, len(texts), 256) for x in rows_of(texts.slice(k, 256).to_pylist())], pa.float64())
 
     return each(text)

@@ -6,7 +6,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from meshloom.llm import packing, toxicity
+import pyarrow as pa
+from meshloom.llm import common, packing, simhash, tokens, toxicity
 from test_operators import brute_fingerprint, brute_logit, brute_spans, expected_ids
 
 
@@ -117,3 +118,32 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in given:
         want_sizes[r[0]] += len(expected_ids("byte_bpe_50k.json", r[1])) + 1
     assert sizes == want_sizes and re.fullmatch(r"[a-z0-9_,]+", ",".join(docs.columns))
+
+
+def test_stages_bound_what_a_worker_holds(spark, monkeypatch):
+    key, none = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 4000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    try:
+        for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.mask_personal_data, corpus_pipeline.pack):
+            spark.conf.unset(key)
+            stage(spark, none, "")
+            got = texts.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 400 and max(r.size for r in got) < common.BATCH_BYTES + 50_000
+            spark.conf.set(key, "1m")
+            stage(spark, none, "")
+            assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    # tables of powers stay small, whatever the texts are long together
+    monkeypatch.setattr(common, "_powers", [])
+    common.hashed_words([b"word " * 1000] * 1000)
+    assert len(common._powers[0]) <= 2 * common.HASHED_BYTES
+    # an operator that doesn't encode drops the encoders that an earlier stage left in its worker
+    tokens.encoder("byte_bpe_50k.json")
+    (out,) = simhash._fingerprints(iter([pa.record_batch([pa.array([1]), pa.array([b"one two"])], names=["doc_id", "body"])]))
+    assert out.num_rows == 1 and not tokens._encoders
